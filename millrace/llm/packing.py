@@ -16,6 +16,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ from millrace.llm.scratch import write_table
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RANKS_PER_TASK = 1 << 16
 MAX_MOVES = 2000  # accepted exchanges of the local search; every one raises the squared fill
-CACHED_WORDS, CACHED_BYTES = 600_000, 48
+CACHED_WORDS, CACHED_BYTES = 1_000_000, 48
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 Pattern = tuple[tuple[int, int], ...]  # (length, times), longest first
@@ -93,12 +94,18 @@ class WordEncoder:
         return out
 
 
+@lru_cache(2)
+def _encoder(vocabulary: str) -> WordEncoder:
+    """One per Python worker, so that later tasks of the worker know the words of earlier ones."""
+    return WordEncoder(vocabulary)
+
+
 def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row per piece; ``keep_ids`` adds the ids themselves as an array."""
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordEncoder(vocabulary)
+        encoder = _encoder(vocabulary)
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"].array, batch["text"].array, strict=True):
