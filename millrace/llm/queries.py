@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, jaccard, media, packing, pii, quality
+from millrace.llm import chat, chunks, html, jaccard, media, mixing, packing, pii, quality, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "word_bpe_49k.json"
@@ -29,6 +29,20 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op2_content_defined_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document with passages that other documents have too; clean documents have none."""
+    found = chunks.dedup_substrings(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_repeats", "n_cut", "cut_bytes", "spans", "first_doc_ids", "n_places")
+
+
+def op3_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op4_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(_table(spark, sf_dir, "documents"))
 
@@ -41,6 +55,12 @@ def op7_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_texts(_table(spark, sf_dir, "documents"))
 
 
+def op8_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its cell's calibrated probability and whether the draw keeps it."""
+    rows = mixing.mix(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "source", "lang", F.col("_mix_topic").alias("topic"), F.col("_mix_tokens").cast("long").alias("n_tokens"), F.round("_mix_probability", 12).alias("probability"), F.col("_mix_kept").alias("kept"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.range(2).select(
@@ -57,7 +77,18 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_quality_rules, op5_contextual_pii, op6_best_fit_packing, op7_signature_sniffing, op9_chat_formatting, op10_ngram_jaccard]
+    own = [
+        op1_quality_rules,
+        op2_content_defined_chunks,
+        op3_redirect_equivalence,
+        op4_page_differencing,
+        op5_contextual_pii,
+        op6_best_fit_packing,
+        op7_signature_sniffing,
+        op8_target_weights,
+        op9_chat_formatting,
+        op10_ngram_jaccard,
+    ]
     return {f.__name__: f for f in own}
 
 
