@@ -30,6 +30,8 @@ from millrace.llm.scratch import write_table
 DIMS = ["source", "lang", "topic"]
 DRIVER_CELLS = 200_000
 NULL_VALUE = "\0null"
+#: Powers that flatten the natural shares of dimensions without targets; 1 leaves them as they are.
+POWERS = {"source": 0.9, "lang": 0.9, "topic": 1.0}
 Targets = Mapping[str, Mapping[str | None, float]] | None
 
 
@@ -54,7 +56,7 @@ def tempered(shares: Mapping[str | None, float], power: float) -> dict[str | Non
     return {v: s / total for v, s in raised.items()}
 
 
-def _targets(given: Targets, natural: dict[str, dict[str, float]], power: float) -> dict[str, dict[str, float]]:
+def _targets(given: Targets, natural: dict[str, dict[str, float]], power: Mapping[str, float]) -> dict[str, dict[str, float]]:
     out = {}
     for d in DIMS:
         share = natural[d]
@@ -65,7 +67,7 @@ def _targets(given: Targets, natural: dict[str, dict[str, float]], power: float)
             left = max(0.0, 1 - sum(named.values())) if rest else 0.0
             out[d] = named | {v: left * s / sum(rest.values()) for v, s in rest.items()}
         else:
-            out[d] = tempered(share, power)
+            out[d] = tempered(share, power[d])
         total = sum(out[d].values()) or 1.0
         out[d] = {v: s / total for v, s in out[d].items()}
     return out
@@ -103,7 +105,7 @@ def _rake_table(cells: DataFrame, targets: dict[str, DataFrame], rounds: int) ->
     return now
 
 
-def with_probability(docs: DataFrame, targets: Targets = None, power: float = 0.8, rounds: int = 100, source_col: str = "source", lang_col: str = "lang", text_col: str = "text", topic: Column | None = None, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+def with_probability(docs: DataFrame, targets: Targets = None, power: Mapping[str, float] = POWERS, rounds: int = 100, source_col: str = "source", lang_col: str = "lang", text_col: str = "text", topic: Column | None = None, driver_cells: int = DRIVER_CELLS) -> DataFrame:
     """``docs`` with _mix_topic, _mix_tokens and _mix_probability. Dimensions without targets get their natural shares tempered by ``power``."""
     spark = docs.sparkSession
     own = {"source": F.col(source_col), "lang": F.col(lang_col), "topic": form_topic(F.col(text_col)) if topic is None else topic}
@@ -134,7 +136,7 @@ def with_probability(docs: DataFrame, targets: Targets = None, power: float = 0.
                 s = share.agg(F.sum("_given").alias("g"), F.sum(F.when(F.col("_given").isNull(), F.col("_share"))).alias("r")).first()
                 raw = F.coalesce("_given", F.lit(max(0.0, 1 - (s["g"] or 0.0))) * F.col("_share") / F.lit(s["r"] or 1.0))
             else:
-                raw = F.pow("_share", F.lit(power))
+                raw = F.pow("_share", F.lit(power[d]))
             share = write_table(share.select(f"_mix_{d}", raw.alias("_mix_want")), "targets")
             tables[d] = share.withColumn("_mix_want", F.col("_mix_want") / (share.agg(F.sum("_mix_want")).first()[0] or 1.0))
         raked = _rake_table(cells, tables, rounds)
@@ -142,7 +144,7 @@ def with_probability(docs: DataFrame, targets: Targets = None, power: float = 0.
     return rows.join(raked, keys)
 
 
-def mix(docs: DataFrame, targets: Targets = None, power: float = 0.8, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+def mix(docs: DataFrame, targets: Targets = None, power: Mapping[str, float] = POWERS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """``docs`` with _mix_* columns and _mix_kept. Filter on it and drop them to sample."""
     rows = with_probability(docs, targets, power, text_col=text_col, **more)
     # an offset keeps the draw apart from other hashes of the id

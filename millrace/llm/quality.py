@@ -28,9 +28,10 @@ from millrace.llm.scratch import write_table
 SYMBOLS = "#*$%&|<>"
 VECTOR = ["v0", "v1", "v2", "v3", "v4", "v5"]
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_marks long, n_chars long"
+COUNTED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_marks long, n_chars long"
 #: Pseudo-counts (words, characters, lines) that draw short texts to the corpus mean, so that their ratios don't scatter more.
 PRIOR_WORDS, PRIOR_CHARS, PRIOR_LINES = 60.0, 300.0, 8.0
+LIMIT = 110.0
 #: Standard deviations below which a statistic is taken as constant.
 FLOOR = (0.03, 0.03, 0.03, 0.08, 0.10, 0.03)
 
@@ -77,45 +78,53 @@ def _classes() -> np.ndarray:
     return table
 
 
-def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, names = _classes(), [x.split()[0] for x in STATS.split(", ")]
-        for batch in batches:
-            rows = []
-            for doc, text, lang, source in zip(*[batch[c].array for c in ("doc_id", "text", "lang", "source")], strict=True):
-                text = text or ""
-                raw = text.encode("utf-8")
-                words = raw.split()  # the six ASCII white spaces part words
-                blanks = sum(raw.count(b) for b in b" \t\n\v\f\r")
-                lines = [x for x in raw.split(b"\n") if x.strip()]
-                codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-                kinds = np.bincount(table[np.minimum(codes, 0xFFFF)], minlength=5)
-                rows.append((doc, lang, source, len(words), len(text) - blanks, sum(raw.count(s) for s in SYMBOLS.encode()), len(lines) - len(set(lines)), repeated_words(words), len(lines), kinds[1], kinds[1] + kinds[2], kinds[4], len(text)))
-            out = pd.DataFrame(rows, columns=names)
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+def _count(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    table, names = _classes(), [x.split()[0] for x in COUNTED.split(", ")]
+    for batch in texts:
+        rows = []
+        for text in batch:
+            text = text or ""
+            raw = text.encode("utf-8")
+            words = raw.split()  # the six ASCII white spaces part words
+            blanks = sum(raw.count(b) for b in b" \t\n\v\f\r")
+            lines = [x for x in raw.split(b"\n") if x.strip()]
+            codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            kinds = np.bincount(table[np.minimum(codes, 0xFFFF)], minlength=5)
+            rows.append((len(words), len(text) - blanks, sum(raw.count(s) for s in SYMBOLS.encode()), len(lines) - len(set(lines)), repeated_words(words), len(lines), kinds[1], kinds[1] + kinds[2], kinds[4], len(text)))
+        yield pd.DataFrame(rows, columns=names, dtype="int64")
+
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source")).mapInPandas(count, STATS)
+def text_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """``docs`` with the column ``_q``: language, source and counts of the text."""
+    counted = docs.withColumn("_q", F.pandas_udf(_count, COUNTED)(F.col(text_col)))
+    names = [x.split()[0] for x in COUNTED.split(", ")]
+    return counted.withColumn("_q", F.struct(F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), *[F.col(f"_q.{n}").alias(n) for n in names]))
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def _vectors(stats: DataFrame) -> DataFrame:
-    """Ratios drawn to the means over the rows that pass the base rules, then logarithm or arcsine root."""
-    ok = stats.where(~base_failed())
-    parts = [("word_chars", "n_words"), ("n_symbols", "n_chars"), ("n_upper", "n_letters"), ("n_repeat_words", "n_words"), ("n_dup_lines", "n_lines"), ("n_marks", "n_chars")]
-    mean = ok.agg(*[(F.sum(a) / F.greatest(F.sum(b), F.lit(1))).alias(f"m{i}") for i, (a, b) in enumerate(parts)]).first()
-    prior = [PRIOR_WORDS, PRIOR_CHARS, PRIOR_CHARS, PRIOR_WORDS, PRIOR_LINES, PRIOR_CHARS]
+RATIOS = [("word_chars", "n_words"), ("n_symbols", "n_chars"), ("n_upper", "n_letters"), ("n_repeat_words", "n_words"), ("n_dup_lines", "n_lines"), ("n_marks", "n_chars")]
+PRIORS = [PRIOR_WORDS, PRIOR_CHARS, PRIOR_CHARS, PRIOR_WORDS, PRIOR_LINES, PRIOR_CHARS]
+
+
+def _means(stats: DataFrame) -> list[float]:
+    """The corpus mean of each ratio over the rows that pass the base rules."""
+    sums = [(F.sum(a) / F.greatest(F.sum(b), F.lit(1))).alias(f"m{i}") for i, (a, b) in enumerate(RATIOS)]
+    return [m or 0.0 for m in stats.where(~base_failed()).agg(*sums).first()]
+
+
+def _vectors(mean: list[float]) -> dict[str, Column]:
+    """Ratios drawn to their means, then logarithm or arcsine root."""
 
     def drawn(i: int) -> Column:
-        return (F.col(parts[i][0]) + prior[i] * (mean[i] or 0.0)) / (F.col(parts[i][1]) + prior[i])
+        return (F.col(RATIOS[i][0]) + PRIORS[i] * mean[i]) / (F.col(RATIOS[i][1]) + PRIORS[i])
 
     def root(i: int) -> Column:
         return F.asin(F.sqrt(F.least(F.greatest(drawn(i), F.lit(0.0)), F.lit(1.0))))
 
-    return ok.withColumns({"v0": F.log(F.greatest(drawn(0), F.lit(1e-6)))} | {f"v{i}": root(i) for i in range(1, 6)})
+    return {"v0": F.log(F.greatest(drawn(0), F.lit(1e-6)))} | {f"v{i}": root(i) for i in range(1, 6)}
 
 
 def _pooled(rows: DataFrame, min_rows: int) -> DataFrame:
@@ -201,20 +210,47 @@ def mcd(rows: DataFrame, h: float = 0.75, steps: int = 3, min_rows: int = 50) ->
     raise AssertionError
 
 
-def judge(docs: DataFrame, h: float = 0.75, steps: int = 3, min_rows: int = 50, limit: float = 110.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def _small(table: DataFrame, most: int = 20_000) -> DataFrame:
+    """A written table, marked for broadcast if it has few rows; beyond that the planner joins it by a shuffle."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
+def _fitted(stats: DataFrame, h: float, steps: int, min_rows: int) -> tuple[list[float], DataFrame, DataFrame, DataFrame]:
+    """Means, groups, rows with their vectors, and the estimates."""
+    mean = _means(stats)
+    good = stats.where(~base_failed()).withColumns(_vectors(mean))
+    groups = _small(_pooled(good, min_rows))
+    rows = write_table(_grouped(good, groups).select("doc_id", "grp", *COUNTS, *VECTOR), "vectors")
+    return mean, groups, rows, _small(write_table(mcd(rows, h, steps, min_rows).drop("rows"), "fit"))
+
+
+def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    named = groups.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "grp")
+    return rows.join(named, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
+
+
+def _stats(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    return write_table(text_counts(docs, text_col, lang_col, source_col).select(F.col(id_col).cast("long").alias("doc_id"), "_q.*"), "stats")
+
+
+def judge(docs: DataFrame, h: float = 0.75, steps: int = 3, min_rows: int = 50, limit: float = LIMIT, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """doc_id, the five counts, base_failed, kept, distance (squared, scaled; null where the base rules failed or no estimate exists).
 
     ``limit`` bounds the squared distance. It lies far above the chi-square quantiles for six statistics, because
     ratios of short texts have heavier tails than a normal vector.
     """
-    stats = write_table(text_counts(docs, id_col, text_col, lang_col, source_col), "stats")
-    vectors = _vectors(stats)
-    groups = _pooled(vectors, min_rows)
-    on = F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))
-    named = groups.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "grp")
-    rows = write_table(vectors.join(named, on).select("doc_id", "grp", *COUNTS, *VECTOR), "vectors")
-    fit = mcd(rows, h, steps, min_rows)
+    stats = _stats(docs, id_col, text_col, lang_col, source_col)
+    _, _, rows, fit = _fitted(stats, h, steps, min_rows)
     far = F.col("scale") * _distance(len(VECTOR))
-    passed = rows.join(fit.drop("rows"), "grp", "left").select("doc_id", *COUNTS, F.lit(False).alias("base_failed"), F.coalesce(far <= limit, F.lit(True)).alias("kept"), far.alias("distance"))
+    passed = rows.join(fit, "grp", "left").select("doc_id", *COUNTS, F.lit(False).alias("base_failed"), F.coalesce(far <= limit, F.lit(True)).alias("kept"), far.alias("distance"))
     failed = stats.where(base_failed()).select("doc_id", *COUNTS, F.lit(True).alias("base_failed"), F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
     return passed.unionByName(failed)
+
+
+def keep_good(docs: DataFrame, h: float = 0.75, steps: int = 3, min_rows: int = 50, limit: float = LIMIT, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps; same columns. Texts are counted a second time rather than shuffled to their verdicts."""
+    mean, groups, _, fit = _fitted(_stats(docs, id_col, text_col, lang_col, source_col), h, steps, min_rows)
+    held = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col), F.col(text_col), F.col(lang_col), F.col(source_col))
+    rows = text_counts(held, text_col, lang_col, source_col).select("_row", "_q.*").where(~base_failed()).withColumns(_vectors(mean))
+    judged = _grouped(rows, groups).join(fit, "grp", "left")
+    return judged.where(F.coalesce(F.col("scale") * _distance(len(VECTOR)) <= limit, F.lit(True))).select("_row.*")
