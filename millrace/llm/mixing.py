@@ -19,9 +19,10 @@ they are; the operator's own names begin with ``_mix``.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,18 +36,26 @@ POWERS = {"source": 0.9, "lang": 0.9, "topic": 1.0}
 Targets = Mapping[str, Mapping[str | None, float]] | None
 
 
-def token_weight(text: Column) -> Column:
-    """Words, counted by the gaps between them; at least one."""
-    return F.greatest(F.length(text) - F.length(F.translate(text, " \n\t", "")) + 1, F.lit(1)).cast("double")
+WEIGHED = "tokens double, topic string"
 
 
-def form_topic(text: Column) -> Column:
-    """A stand-in topic from a text's form, for tables without a topic column: tiny, listing, numeric, long or prose."""
-    words = token_weight(text)
-    lines = F.length(text) - F.length(F.translate(text, "\n", "")) + 1
-    digits = F.length(text) - F.length(F.translate(text, "0123456789", ""))
-    topic = F.when(words < 40, "tiny").when(words / lines < 6, "listing").when(digits > 0.04 * F.length(text), "numeric").when(words > 1500, "long").otherwise("prose")
-    return F.coalesce(topic, F.lit("tiny"))
+def _weigh(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Token weight (words, counted by the gaps between them, at least one) and form topic of each text."""
+    for batch in texts:
+        tokens, topics = [], []
+        for text in batch:
+            raw = (text or "").encode("utf-8")
+            breaks = raw.count(b"\n")
+            words = raw.count(b" ") + raw.count(b"\t") + breaks + 1
+            digits = sum(raw.count(d) for d in b"0123456789")
+            tokens.append(float(words))
+            topics.append("tiny" if words < 40 else "listing" if words < 6 * (breaks + 1) else "numeric" if 25 * digits > len(raw) else "long" if words > 1500 else "prose")
+        yield pd.DataFrame({"tokens": tokens, "topic": topics})
+
+
+def weighed(text: Column) -> Column:
+    """(tokens, topic). The topic is a stand-in from a text's form, for tables without a topic column: tiny, listing, numeric, long or prose."""
+    return F.pandas_udf(_weigh, WEIGHED)(text)
 
 
 def tempered(shares: Mapping[str | None, float], power: float) -> dict[str | None, float]:
@@ -108,12 +117,13 @@ def _rake_table(cells: DataFrame, targets: dict[str, DataFrame], rounds: int) ->
 def with_probability(docs: DataFrame, targets: Targets = None, power: Mapping[str, float] = POWERS, rounds: int = 100, source_col: str = "source", lang_col: str = "lang", text_col: str = "text", topic: Column | None = None, driver_cells: int = DRIVER_CELLS) -> DataFrame:
     """``docs`` with _mix_topic, _mix_tokens and _mix_probability. Dimensions without targets get their natural shares tempered by ``power``."""
     spark = docs.sparkSession
-    own = {"source": F.col(source_col), "lang": F.col(lang_col), "topic": form_topic(F.col(text_col)) if topic is None else topic}
-    rows = docs.withColumns({f"_mix_{d}": F.coalesce(c.cast("string"), F.lit(NULL_VALUE)) for d, c in own.items()} | {"_mix_tokens": F.coalesce(token_weight(F.col(text_col)), F.lit(1.0))})
+    rows = docs.withColumn("_mix_form", weighed(F.col(text_col)))
+    own = {"source": F.col(source_col), "lang": F.col(lang_col), "topic": F.col("_mix_form.topic") if topic is None else topic}
+    rows = rows.withColumns({f"_mix_{d}": F.coalesce(c.cast("string"), F.lit(NULL_VALUE)) for d, c in own.items()} | {"_mix_tokens": F.col("_mix_form.tokens")}).drop("_mix_form")
     keys = [f"_mix_{d}" for d in DIMS]
-    cells = write_table(rows.groupBy(*keys).agg(F.sum("_mix_tokens").alias("_mix_tokens")), "cells")
-    if cells.count() <= driver_cells:
-        held = cells.collect()
+    cells = rows.groupBy(*keys).agg(F.sum("_mix_tokens").alias("_mix_tokens"))
+    held = sorted(cells.limit(driver_cells + 1).collect())
+    if len(held) <= driver_cells:
         total = sum(r["_mix_tokens"] for r in held) or 1.0
         natural: dict[str, dict[str, float]] = {d: {} for d in DIMS}
         for r in held:
@@ -126,6 +136,7 @@ def with_probability(docs: DataFrame, targets: Targets = None, power: Mapping[st
         raked = spark.createDataFrame([(*(r[k] for k in keys), float(f)) for r, f in zip(held, factor, strict=True)], ", ".join(f"{k} string" for k in keys) + ", _mix_factor double")
         raked = F.broadcast(raked.withColumn("_mix_probability", F.col("_mix_factor") / float(factor.max(initial=0.0) or 1.0)).drop("_mix_factor"))
     else:
+        cells = write_table(cells, "cells")
         total = cells.agg(F.sum("_mix_tokens")).first()[0]
         tables = {}
         for d in DIMS:
