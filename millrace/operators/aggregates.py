@@ -154,12 +154,12 @@ def cluster_bootstrap_mean(df: DataFrame, cluster: str, value: str, draws: int,
 
     Clusters are reduced to a sum and a count first; replicates are drawn over those, so the rows are read once.
     """
-    sums = df.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
-    sums = sums.withColumn("idx", F.row_number().over(Window.orderBy(cluster)) - 1)
+    sums = df.groupBy(cluster).agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
+    sums = sums.withColumn("idx", F.row_number().over(Window.orderBy(F.col(cluster))) - 1)
     n = sums.count()
     spark = df.sparkSession
     slots = spark.range(draws * n).select((F.col("id") / n).cast("long").alias("rep"), (F.col("id") % n).alias("slot"))
-    drawn = slots.withColumn("idx", resampled_indices(n, draws, seed)).join(sums.select("idx", "s", "c"), "idx").groupBy("rep").agg((F.sum("s") / F.sum("c")).alias("m"))
+    drawn = slots.withColumn("idx", resampled_indices(n, draws, seed)).join(sums.select("idx", "_s", "_c"), "idx").groupBy("rep").agg((F.sum("_s") / F.sum("_c")).alias("m"))
     a = (1 - level) / 2
     ci = drawn.agg(F.percentile("m", F.lit(a)).alias("low"), F.percentile("m", F.lit(1 - a)).alias("high"))
     return df.agg(F.avg(value).alias("mean")).crossJoin(ci)  # one row each

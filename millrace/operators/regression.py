@@ -6,9 +6,11 @@ the Gibbs sampler runs on those, so its cost does not depend on the number of ro
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,22 +92,31 @@ def coefficients(model: Pooled) -> list[tuple[str, float, float, float]]:
 
 
 def predict_pooled(df: DataFrame, model: Pooled, groups: list[str]) -> DataFrame:
-    """Adds the predictive mean and variance; a level that was not seen widens the variance by its group's spread."""
-    k = 1 + len(model.columns)
-    mean, cov = model.draws.mean(axis=0), np.cov(model.draws.T)
-    xs = [F.lit(1.0), *[F.col(c).cast("double") for c in model.columns]]
-    m, v = F.lit(0.0), F.lit(float(model.sigma2.mean()))
-    for i in range(k):
-        m = m + xs[i] * float(mean[i])
-        for j in range(k):
-            v = v + xs[i] * xs[j] * float(cov[i, j])
-    at = k
+    """Adds the predictive mean and variance over the draws; a level that was not seen widens the variance by its group's spread."""
+    k, at = 1 + len(model.columns), 1 + len(model.columns)
+    codes = []
     for g, name in enumerate(groups):
-        levels = model.levels[name]
         key = df.schema[name].dataType.simpleString()
-        effects = df.sparkSession.createDataFrame([(x, float(mean[at + i]), float(cov[at + i, at + i])) for i, x in enumerate(levels)], f"{name} {key}, _m{g} double, _v{g} double")
-        df = df.join(effects, name, "left")
-        m = m + F.coalesce(f"_m{g}", F.lit(0.0))
-        v = v + F.coalesce(f"_v{g}", F.lit(float(model.tau2[:, g].mean())))
-        at += len(levels)
-    return df.withColumns({"predicted": m, "variance": v}).drop(*[f"_{c}{g}" for g in range(len(groups)) for c in "mv"])
+        places = df.sparkSession.createDataFrame([(x, at + i) for i, x in enumerate(model.levels[name])], f"{name} {key}, _at{g} int")
+        df = df.join(places, name, "left")
+        codes.append(F.coalesce(f"_at{g}", F.lit(-1)))
+        at += len(model.levels[name])
+    draws, sigma2, spread = model.draws, float(model.sigma2.mean()), model.tau2.mean(axis=0)
+
+    def predict(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for cols in batches:
+            x = np.column_stack([np.ones(len(cols[0])), *[c.to_numpy(float) for c in cols[: k - 1]]])
+            means, variances = [], []
+            for start in range(0, len(x), 1000):
+                part = slice(start, start + 1000)
+                value, extra = x[part] @ draws[:, :k].T, np.zeros(len(x[part]))
+                for g, c in enumerate(cols[k - 1 :]):
+                    code = c.to_numpy(int)[part]
+                    value = value + np.where(code >= 0, draws[:, code], 0.0).T
+                    extra += np.where(code < 0, spread[g], 0.0)
+                means.append(value.mean(axis=1))
+                variances.append(value.var(axis=1) + sigma2 + extra)
+            yield pd.DataFrame({"predicted": np.concatenate(means), "variance": np.concatenate(variances)})
+
+    out = F.pandas_udf(predict, "predicted double, variance double")(*[F.col(c).cast("double") for c in model.columns], *codes)
+    return df.withColumn("_p", out).withColumns({"predicted": F.col("_p.predicted"), "variance": F.col("_p.variance")}).drop("_p", *[f"_at{g}" for g in range(len(groups))])

@@ -20,8 +20,8 @@ SIGNALS = {
     "click": {"tag": "ns=1;s=P01.click", "unit": "1", "rate_hz": 1.0, "type": "float", "lo": 0.0, "hi": 60.0, "kind": "input"},
     "purchase": {"tag": "ns=1;s=P01.purchase", "unit": "1", "rate_hz": 1.0, "type": "float", "lo": 10.0, "hi": 90.0, "kind": "input"},
     "view": {"tag": "ns=1;s=P01.view", "unit": "1", "rate_hz": 1.0, "type": "float", "lo": 0.0, "hi": 100.0, "kind": "input"},
-    "login": {"tag": "ns=1;s=P01.login", "unit": "1", "rate_hz": 0.1, "type": "float", "lo": 5.0, "hi": 50.0, "kind": "input"},
-    "logout": {"tag": "ns=1;s=P01.logout", "unit": "1", "rate_hz": 0.1, "type": "float", "lo": 0.0, "hi": 75.0, "kind": "output"},
+    "signup": {"tag": "ns=1;s=P01.signup", "unit": "1", "rate_hz": 0.1, "type": "float", "lo": 5.0, "hi": 50.0, "kind": "input"},
+    "error": {"tag": "ns=1;s=P01.error", "unit": "1", "rate_hz": 0.1, "type": "float", "lo": 0.0, "hi": 75.0, "kind": "output"},
 }
 _LIMITS = "(VALUES " + ", ".join(f"('{k}', {v['lo']}::DOUBLE, {v['hi']}::DOUBLE)" for k, v in SIGNALS.items()) + ") c(signal, lo, hi)"
 
@@ -50,17 +50,17 @@ def s4_safe_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT *, sum(CASE WHEN event_type = 'login' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS epoch FROM events)
+    """WITH e AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS epoch FROM events)
     SELECT user_id, epoch::BIGINT AS epoch, event_type AS signal, count(*)::BIGINT AS n, round(sum(value), 6) AS total, max(event_id) AS last_id FROM e GROUP BY ALL"""
 )
 def s7_replay_blocks(spark: SparkSession, d: str) -> DataFrame:
-    e = S.epochs(_events(spark, d), ["user_id"], ["ts", "event_id"], F.col("event_type") == "login")
+    e = S.epochs(_events(spark, d), ["user_id"], ["ts", "event_id"], F.col("event_type") == "signup")
     return e.groupBy("user_id", "epoch", "signal").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"), F.max("event_id").alias("last_id"))
 
 
-@query("SELECT signal, CASE WHEN signal = 'logout' THEN tag WHEN signal = 'view' THEN 'ns=3;s=X' ELSE replace(tag, 'ns=1;s=P01', 'ns=2;s=P07') END AS tag FROM (VALUES " + ", ".join(f"('{k}', '{v['tag']}')" for k, v in SIGNALS.items()) + ") c(signal, tag)")
+@query("SELECT signal, CASE WHEN signal = 'error' THEN tag WHEN signal = 'view' THEN 'ns=3;s=X' ELSE replace(tag, 'ns=1;s=P01', 'ns=2;s=P07') END AS tag FROM (VALUES " + ", ".join(f"('{k}', '{v['tag']}')" for k, v in SIGNALS.items()) + ") c(signal, tag)")
 def s13_site_tags(spark: SparkSession, d: str) -> DataFrame:
-    over = spark.createDataFrame([("view", "ns=3;s=X"), ("logout", "ignored")], "signal string, tag string")
+    over = spark.createDataFrame([("view", "ns=3;s=X"), ("error", "ignored")], "signal string, tag string")
     return retagged(contract_table(spark, SIGNALS), r"^ns=1;s=P01", "ns=2;s=P07", over).select("signal", "tag")
 
 
@@ -96,10 +96,10 @@ def f2_first_bad_rows(spark: SparkSession, d: str) -> DataFrame:
     return Q.first_bad(Q.range_checked(_events(spark, d), contract_table(spark, SIGNALS)), ["event_id"]).select("event_id", "value")
 
 
-@query("SELECT event_id, (props->>'k')::BIGINT AS k, event_type IN ('click', 'view', 'login', 'logout', 'purchase', 'scroll') AND length(event_type) > 0 AND (props->>'k') IS NOT NULL AS valid FROM events")
+@query("SELECT event_id, (props->>'k')::BIGINT AS k, event_type IN ('click', 'view', 'signup', 'error', 'purchase', 'scroll') AND length(event_type) > 0 AND (props->>'k') IS NOT NULL AS valid FROM events")
 def f3_record_validation(spark: SparkSession, d: str) -> DataFrame:
     record = F.from_json("props", "k long", {"mode": "FAILFAST"})
-    valid = F.col("event_type").isin("click", "view", "login", "logout", "purchase", "scroll") & (F.length("event_type") > 0) & F.col("r.k").isNotNull()
+    valid = F.col("event_type").isin("click", "view", "signup", "error", "purchase", "scroll") & (F.length("event_type") > 0) & F.col("r.k").isNotNull()
     return _events(spark, d).withColumn("r", record).select("event_id", F.col("r.k").alias("k"), valid.alias("valid"))
 
 
@@ -443,9 +443,9 @@ def a31_interval_coverage(spark: SparkSession, d: str) -> DataFrame:
     return A.coverage(e, ["event_type"], "value", "lo", "hi").select("event_type", F.round("coverage", 6).alias("coverage"), "n")
 
 
-@query("SELECT event_id, ts_rank::BIGINT AS position FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, (event_type <> 'login'), event_id) AS ts_rank FROM events)")
+@query("SELECT event_id, ts_rank::BIGINT AS position FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, (event_type <> 'signup'), event_id) AS ts_rank FROM events)")
 def o1_event_first_order(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", F.col("event_type") != "login", "event_id")
+    w = Window.partitionBy("user_id").orderBy("ts", F.col("event_type") != "signup", "event_id")
     return table(spark, d, "events").select("event_id", F.row_number().over(w).cast("long").alias("position"))
 
 
