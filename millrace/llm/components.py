@@ -35,9 +35,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     e = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = write_table(e, "edges")
-    before = None
-    for _ in range(max_rounds):
-        after = write_table(_small_star(_large_star(e)), "edges")
+    before, n = None, e.count()
+    for _ in range(max_rounds if n else 0):
+        after = write_table(_small_star(_large_star(e)), "edges", rows=n)
         drop_table(e)
         e = after
         state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -45,5 +45,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         before = state
     else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        if n:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

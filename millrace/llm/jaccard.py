@@ -7,8 +7,9 @@
    and with sizes that leave room for the needed overlap (length and positional filters). Those filters see
    only size and position, so rows are first counted per (n-gram, size, position) cell and cells are
    compared instead of rows.
-3. First, cells link their members to one of their own, and cells to cells, by one member each. What these
-   links tie together needs no further comparison: a group of near copies costs its size, not its square.
+3. First, every row is compared with one member of its cell, and with its n-gram's hub: the text in which
+   the n-gram comes earliest, which has the least of its own. What these links tie together needs no further
+   comparison: a group of near copies costs its size, not its square.
 4. Then every pair of rows in compatible cells that is not tied yet is compared. Pairs are reduced to one
    each, pass the suffix filter on counts over parts of the hash space, and are verified once on the sets
    made anew from both whole texts.
@@ -35,7 +36,7 @@ from millrace.llm.components import connected_components
 from millrace.llm.scratch import write_table
 
 COUNTERS, BLOCK = 1 << 21, 1 << 15
-PARTS = 32
+PARTS = 64
 _K = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]  # fixed odd multipliers
 
 
@@ -47,26 +48,78 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-@lru_cache(200_000)
-def _short(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word)
-
-
-def _word(word: bytes) -> int:
-    return _short(word) if len(word) <= 40 else xxhash.xxh64_intdigest(word)
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_BASE = np.uint64(0x9FB21C651E98DF25)  # odd, so that it has an inverse
+_UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_BLOCK_BYTES = 1 << 19
+
+
+@lru_cache(1)
+def _byte_codes() -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(bytes([i])) for i in range(256)], np.uint64)
+
+
+class _Powers:
+    """Powers of the base and of its inverse, as far as any text so far needed them."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            with np.errstate(over="ignore"):
+                self.up = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, _BASE)]))
+                self.down = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, _UNBASE)]))
+        return self.up[:n], self.down[:n]
+
+
+def _word_hashes(raw: bytes, powers: _Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every word of ``raw``: polynomials over its bytes from one running sum, mixed with its length."""
+    data = np.frombuffer(raw, np.uint8)
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = ~_BLANK[data]
+    step = np.diff(inside)
+    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    up, down = powers.get(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_byte_codes()[data] * up[:-1], out=total[1:])
+    return _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
+
+
+def shingle_sets(texts: list[str | None], width: int = 3) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's word n-grams. Texts are hashed in blocks of about half a megabyte."""
+    powers, block, size = _Powers(), [], 0
+    for text in texts:
+        block.append((text or "").encode("utf-8").lower())  # bytes: A-Z only
+        size += len(block[-1]) + 1
+        if size >= _BLOCK_BYTES:
+            yield from _block_sets(block, width, powers)
+            block, size = [], 0
+    yield from _block_sets(block, width, powers)
+
+
+def _block_sets(block: list[bytes], width: int, powers: _Powers) -> Iterator[np.ndarray]:
+    if not block:
+        return
+    words, starts = _word_hashes(b"\n".join(block), powers)
+    edges = np.concatenate([[0], np.cumsum([len(x) + 1 for x in block])])
+    first = np.searchsorted(starts, edges)
+    grams = np.full(max(0, len(words) - width + 1), width, np.uint64)
+    for k in range(width):
+        grams = _mix(grams * _K[2] + words[k : k + len(grams)])
+    for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if j - i >= width:
+            yield np.unique(grams[i : j - width + 1])
+        else:
+            h = np.full(min(1, j - i), j - i, np.uint64)
+            for k in range(i, j):
+                h = _mix(h * _K[2] + words[k : k + 1])
+            yield h
 
 
 def shingles(text: str | None, width: int = 3) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word n-grams."""
-    words = (text or "").encode("utf-8").lower().split()  # bytes: A-Z and the six ASCII white spaces only
-    if not words:
-        return np.empty(0, np.uint64)
-    coded = np.fromiter(map(_word, words), np.uint64, len(words))
-    n = max(1, len(words) - width + 1)
-    h = np.full(n, min(width, len(words)), np.uint64)
-    for k in range(min(width, len(words))):
-        h = _mix(h * _K[2] + coded[k : k + n])
-    return np.unique(h)
+    return next(shingle_sets([text], width))
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -91,20 +144,17 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        counts = np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(COUNTERS, np.int32)
         task = TaskContext.get().partitionId()
         for b in batches:
             rows = []
-            for doc, text in zip(b["doc_id"].array, b["text"].array, strict=True):
-                s = shingles(text, width)
-                counts += np.bincount((s & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS) if len(s) > COUNTERS // 8 else 0
-                if len(s) <= COUNTERS // 8:
-                    np.add.at(counts, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-                parts = np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=PARTS)
+            for doc, s in zip(b["doc_id"].array, shingle_sets(b["text"].array, width), strict=True):
+                np.add.at(counts, (s & np.uint64(COUNTERS - 1)).astype(np.int64), np.int32(1))
+                parts = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PARTS)
                 rows.append((doc, xxhash.xxh3_128_digest(s.tobytes()), len(s), parts.tolist(), None, task, None))
             out = pd.DataFrame(rows, columns=["doc_id", "digest", "n", "parts", "block", "task", "counts"])
             yield out.astype({"doc_id": "Int64", "block": "Int32"})
-        held = np.minimum(counts, 2**31 - 1).astype("<i4").reshape(-1, BLOCK)
+        held = counts.reshape(-1, BLOCK)
         for k in range(len(held)):
             if held[k].any():
                 yield pd.DataFrame({"doc_id": [None], "digest": [None], "n": [0], "parts": [None], "block": [k], "task": [task], "counts": [held[k].tobytes()]}).astype({"doc_id": "Int64"})
@@ -137,8 +187,7 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int) ->
         order = held.value
         for b in batches:
             rows = []
-            for doc, text in zip(b["doc_id"].array, b["text"].array, strict=True):
-                s = shingles(text, width)
+            for doc, s in zip(b["doc_id"].array, shingle_sets(b["text"].array, width), strict=True):
                 if len(s):
                     rare = np.argsort(order[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")
                     rows.append((doc, len(s), s[rare[: prefix_size(len(s), percent)]].view(np.int64)))
@@ -147,6 +196,12 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int) ->
     return docs.mapInPandas(run, "doc_id long, n long, prefix array<long>")
 
 
+def suffix_filter(p: Column, q: Column, n: Column, m: Column, percent: int) -> Column:
+    """Sets cannot have more in common than the sum, over parts of the hash space, of the lesser count. A null bounds nothing."""
+    common = F.aggregate(F.zip_with(p, q, lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
+    return F.coalesce(common >= needed(n, m, percent), F.lit(True))
+
+
 def _pairs(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -156,10 +211,11 @@ def _verified(pairs: DataFrame, parts: DataFrame, docs: DataFrame, width: int, p
     for side in "ab":
         p = parts.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("parts").alias(f"p_{side}"))
         pairs = pairs.join(p, side)
-    common = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    pairs = write_table(pairs.where(common >= needed(F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct(), "pairs")
+    near = suffix_filter(F.col("p_a"), F.col("p_b"), F.col("n_a"), F.col("n_b"), percent)
+    pairs = write_table(pairs.where(near).select("a", "b").distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = write_table(docs.join(ids, "doc_id", "left_semi"), "texts")
+    # what the pairs name grows with the corpus, so it is not broadcast
+    texts = write_table(docs.join(ids.hint("merge"), "doc_id", "left_semi"), "texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -170,14 +226,14 @@ def _verified(pairs: DataFrame, parts: DataFrame, docs: DataFrame, width: int, p
             if text not in known:
                 if len(known) >= 16:
                     known.pop(next(iter(known)))
-                known[text] = shingles(text, width)
+                known[text] = next(shingle_sets([text], width))
             return known[text]
 
         for b in batches:
             keep = []
             for x, y in zip(b["text_a"], b["text_b"], strict=True):
                 p, q = of(x), of(y)
-                c = len(p) + len(q) - len(np.union1d(p, q))
+                c = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * c >= percent * (len(p) + len(q) - c) and c > 0)
             yield b.loc[keep, ["a", "b"]]
 
@@ -198,32 +254,31 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     classes = write_table(linked.groupBy("digest").agg(F.min("doc_id").alias("class_id")), "classes")
     parts = write_table(linked.join(classes, "digest").where(F.col("doc_id") == F.col("class_id")).select("doc_id", "digest", "n", "parts").dropDuplicates(["doc_id", "digest"]), "parts")
     prefixes = _prefixes(docs.where("doc_id is not null"), _merged_counts(sets), width, percent).join(parts.select("doc_id").distinct(), "doc_id", "left_semi")
-    index = write_table(prefixes.select("doc_id", "n", F.posexplode("prefix").alias("pos", "gram")).select("gram", "n", "pos", "doc_id").distinct(), "index")
+    prefixes = write_table(prefixes, "prefixes")
+    index = prefixes.select(F.col("n").cast("int").alias("n"), "doc_id", F.posexplode("prefix").alias("pos", "gram"))
 
     # only n-grams of two texts or more can link
-    shared = index.groupBy("gram").agg(F.min("doc_id").alias("_x"), F.max("doc_id").alias("_y")).where("_x < _y").select("gram")
-    index = write_table(index.join(shared, "gram", "left_semi"), "shared")
+    shared = index.groupBy("gram").agg(F.count("*").alias("_n")).where("_n > 1").select("gram")
+    index = write_table(index.join(shared.hint("merge"), "gram", "left_semi"), "index")
     cells = write_table(index.groupBy("gram", "n", "pos").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("size")), "cells")
     own = index.alias("a").join(cells.where("size > 1").alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.n") == F.col("b.n")) & (F.col("a.pos") == F.col("b.pos")))
     own = own.where(compatible("a", "b", percent) & (F.col("doc_id") != F.col("pivot"))).select(*_pairs(F.col("doc_id"), F.col("pivot")))
-    across = cells.alias("a").join(cells.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.pivot") < F.col("b.pivot")) & compatible("a", "b", percent))
-    across = across.select(*_pairs(F.col("a.pivot"), F.col("b.pivot")))
-    first = write_table(_verified(own.unionByName(across).distinct(), parts, docs, width, percent), "links")
+    hubs = index.groupBy("gram").agg(F.min(F.struct("pos", "doc_id", "n")).alias("h")).select("gram", "h.pos", "h.n", F.col("h.doc_id").alias("hub"))
+    spokes = index.alias("a").join(hubs.alias("b"), "gram").where(compatible("a", "b", percent) & (F.col("doc_id") != F.col("hub"))).select(*_pairs(F.col("doc_id"), F.col("hub")))
+    first = write_table(_verified(own.unionByName(spokes).distinct(), parts, docs, width, percent), "links")
     comp = write_table(connected_components(first.select(F.col("a").alias("u"), F.col("b").alias("v"))), "tied")
 
     # what is not tied yet, within n-grams that still hold more than one component
     tied = _with_component(index, comp, "doc_id", "comp")
     open_grams = tied.groupBy("gram").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).where("_x < _y").select("gram")
-    tied = write_table(tied.join(open_grams, "gram", "left_semi"), "open")
+    tied = write_table(tied.join(open_grams, "gram", "left_semi").select("gram", "n", "pos", "comp", "doc_id"), "open")
     cells = tied.groupBy("gram", "n", "pos", "comp").agg(F.count("*").alias("size"))
     apart = cells.alias("a").join(cells.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.comp") < F.col("b.comp")) & compatible("a", "b", percent))
-    for side in "ab":
-        apart = apart.withColumns({f"{side}_{c}": F.col(f"{side}.{c}") for c in ("n", "pos", "comp")})
-    apart = apart.select(F.col("a.gram").alias("gram"), *[f"{s}_{c}" for s in "ab" for c in ("n", "pos", "comp")])
+    apart = apart.select(F.col("a.gram").alias("gram"), *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("n", "pos", "comp")])
     for side in "ab":
         t = tied.select("gram", F.col("n").alias(f"{side}_n"), F.col("pos").alias(f"{side}_pos"), F.col("comp").alias(f"{side}_comp"), F.col("doc_id").alias(side))
         apart = apart.join(t, ["gram", f"{side}_n", f"{side}_pos", f"{side}_comp"])
-    tried = own.unionByName(across).select("a", "b").distinct()
+    tried = own.unionByName(spokes).distinct()
     rest = apart.select(*_pairs(F.col("a"), F.col("b"))).distinct().join(tried, ["a", "b"], "left_anti")
     more = write_table(_verified(rest, parts, docs, width, percent), "links")
 
@@ -233,3 +288,18 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     comp = connected_components(links)
     named = rows.join(classes, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
     return _with_component(named, comp, "class_id", "component_id").select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, the one of the smallest id; same columns.
+
+    Rows without id, and texts without words, stay. Of rows that share an id one stays.
+    """
+    found = write_table(jaccard_components(docs, width, percent, id_col, text_col).where("doc_id is not null").select("doc_id", "component_id"), "components")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    out = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    several = write_table(found.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_several")), "several")
+    if several.isEmpty():
+        return out
+    same = F.col(id_col).cast("long") == F.col("_several")
+    return out.join(several, same, "left_anti").unionByName(out.join(several, same, "left_semi").dropDuplicates([id_col]))

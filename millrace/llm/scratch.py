@@ -28,9 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{folder}"
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return a frame that reads the written table."""
+ROWS_PER_FILE = 200_000
+
+
+def write_table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` once and return a frame that reads the written table.
+
+    ``rows``: about how many narrow rows there are, if that is known; small tables then don't become many tiny files.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(rows // ROWS_PER_FILE + 1)
     path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append((spark, path))
