@@ -28,7 +28,7 @@ from millrace.llm.scratch import write_table
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RANKS_PER_TASK = 1 << 16
 MAX_MOVES = 2000  # accepted exchanges of the local search; every one raises the squared fill
-CACHED_WORDS, CACHED_BYTES = 1_000_000, 48
+CACHED_WORDS, CACHED_BYTES = 300_000, 48
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 Pattern = tuple[tuple[int, int], ...]  # (length, times), longest first
@@ -46,25 +46,30 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.known: dict[bytes, bytes] = {}
+        self.seen = self.missed = 0
         names = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(names.values()) + 1, bool)
         self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
 
     def encode(self, text: str) -> bytes:
         words = text.encode("utf-8").split()  # the six ASCII white spaces
-        missing = set(words).difference(self.known)
-        if missing:
-            if len(self.known) + len(missing) > CACHED_WORDS:
-                self.known = {}
-                missing = set(words)
-            new = self._encode_words(list(missing))
-            if len(new) > CACHED_WORDS // 2 or max(map(len, missing)) > CACHED_BYTES:  # not all of it is worth keeping
-                both = self.known | new
-                if len(new) <= CACHED_WORDS // 2:
-                    self.known.update({w: e for w, e in new.items() if len(w) <= CACHED_BYTES})
-                return b"".join([both[w] for w in words])
-            self.known.update(new)
         known = self.known
+        missing = set(words).difference(known)
+        if not missing:
+            return b"".join([known[w] for w in words])
+        new = self._encode_words(list(missing))
+        self.seen, self.missed = self.seen + len(words), self.missed + len(missing)
+        if len(known) + len(new) > CACHED_WORDS:
+            # full: frequent words came early and stay, unless most words are strange by now
+            if self.seen > CACHED_WORDS:
+                if 2 * self.missed > self.seen:
+                    self.known = {}
+                self.seen = self.missed = 0
+            return b"".join([known[w] if w in known else new[w] for w in words])
+        if max(map(len, missing)) > CACHED_BYTES:
+            known.update({w: e for w, e in new.items() if len(w) <= CACHED_BYTES})
+            return b"".join([known[w] if w in known else new[w] for w in words])
+        known.update(new)
         return b"".join([known[w] for w in words])
 
     def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
