@@ -180,7 +180,7 @@ def main_text(lines: list[tuple[str, int, float]], shared: set[int]) -> str:
         return "\n".join(inside)
     free = [(i, t) for i, (t, zone, links) in enumerate(lines) if zone == FREE and links < 0.7]
     kept = [t for i, t in free if i not in shared]
-    if 2 * sum(map(len, kept)) < sum(len(t) for _, t in free) and not any(len(t) > 80 for t in kept):
+    if 5 * sum(map(len, kept)) < sum(len(t) for _, t in free) and not any(len(t) > 80 for t in kept):
         kept = [t for _, t in free]  # the neighbour is a copy: what they share is the article
     return "\n".join(kept)
 

@@ -85,6 +85,8 @@ def _targets(given: Targets, natural: dict[str, dict[str, float]], power: Mappin
 def rake(codes: np.ndarray, tokens: np.ndarray, targets: list[np.ndarray], rounds: int = 100, tolerance: float = 1e-9) -> np.ndarray:
     """A factor per cell so that the weighted tokens have the target share in every margin. ``codes``: cells x dimensions."""
     factor, total = np.ones(len(tokens)), tokens.sum()
+    if not len(tokens):
+        return factor
     for _ in range(rounds):
         off = 0.0
         for d, want in enumerate(targets):

@@ -28,8 +28,9 @@ from millrace.llm.scratch import write_table
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RANKS_PER_TASK = 1 << 16
 MAX_MOVES = 2000  # accepted exchanges of the local search; every one raises the squared fill
-CACHED_WORDS, CACHED_BYTES = 300_000, 48
+CACHED_WORDS, CACHED_BYTES = 250_000, 48
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_PUNCTUATION = PUNCTUATION.encode()
 
 Pattern = tuple[tuple[int, int], ...]  # (length, times), longest first
 
@@ -46,6 +47,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.known: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
         self.seen = self.missed = 0
         names = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(names.values()) + 1, bool)
@@ -63,7 +65,7 @@ class WordEncoder:
             # full: frequent words came early and stay, unless most words are strange by now
             if self.seen > CACHED_WORDS:
                 if 2 * self.missed > self.seen:
-                    self.known = {}
+                    self.known, self.stems = {}, {}
                 self.seen = self.missed = 0
             return b"".join([known[w] if w in known else new[w] for w in words])
         if max(map(len, missing)) > CACHED_BYTES:
@@ -73,6 +75,33 @@ class WordEncoder:
         return b"".join([known[w] for w in words])
 
     def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """ASCII words are their lower-case stem and the punctuation after it, each remembered; the rest is encoded."""
+        out, stems, strange = {}, self.stems, []
+        for w in words:
+            core = w.rstrip(_PUNCTUATION)
+            stem = stems.get(core.lower())
+            tail = b"" if len(core) == len(w) else stems.get(w[len(core) :])
+            if stem is None or tail is None:
+                strange.append(w)
+            else:
+                out[w] = stem + tail
+        if strange:
+            new = self._encode_strange(strange)
+            if len(stems) < CACHED_WORDS:
+                for w, e in new.items():
+                    core = w.rstrip(_PUNCTUATION)
+                    if core.isalpha() and len(w) <= CACHED_BYTES:  # of bytes: ASCII letters only
+                        tail = w[len(core) :]
+                        if tail and tail not in stems:
+                            stems[tail] = self._ids(tail.decode())
+                        stems[core.lower()] = e[: len(e) - len(stems[tail])] if tail else e
+            out.update(new)
+        return out
+
+    def _ids(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _encode_strange(self, words: list[bytes]) -> dict[bytes, bytes]:
         plain, parts, other = [], [], []
         for w in words:
             s = w.decode("utf-8")
@@ -95,7 +124,7 @@ class WordEncoder:
             else:
                 other += plain
         for w, s in other:
-            out[w] = np.asarray(self.tokenizer.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            out[w] = self._ids(s)
         return out
 
 

@@ -29,6 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 ROWS_PER_FILE = 200_000
+#: Whole texts go to Python in batches; of the default number of rows, a batch of long ones would be hundreds of megabytes.
+ROWS_PER_BATCH = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of a session that has the default bound."""
+    if int(spark.conf.get(_BATCH, "10000")) == 10000:
+        spark.conf.set(_BATCH, str(ROWS_PER_BATCH))
 
 
 def write_table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -37,6 +46,7 @@ def write_table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     ``rows``: about how many narrow rows there are, if that is known; small tables then don't become many tiny files.
     """
     spark = df.sparkSession
+    small_batches(spark)
     if rows is not None:
         df = df.coalesce(rows // ROWS_PER_FILE + 1)
     path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
