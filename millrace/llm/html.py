@@ -185,18 +185,17 @@ def main_text(lines: list[tuple[str, int, float]], shared: set[int]) -> str:
     return "\n".join(kept)
 
 
-_KEY = ["page_id", "url_key", "html_key"]
-
-
 def _keyed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """page_id as text (pandas would turn longs with nulls into doubles), url, html, and a key that equal rows share."""
     url, text = F.col(url_col).cast("string"), F.col(html_col).cast("string")
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), text.alias("html"), F.coalesce(F.xxhash64(url), F.lit(0)).alias("url_key"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("html_key"))
+    page = F.col(id_col).cast("string")
+    key = F.concat_ws("|", F.coalesce(page, F.lit("-")), F.coalesce(F.hex(F.xxhash64(url)), F.lit("-")), F.coalesce(F.hex(F.xxhash64(text)), F.lit("-")))
+    return pages.select(page.alias("page_id"), url.alias("url"), text.alias("html"), key.alias("key"))
 
 
 def neighbours(keys: DataFrame) -> DataFrame:
-    """keys: host, path and the key columns, one row per key. Adds the partner's key columns (n_*), null for a page alone on its host."""
-    order = ["host", "path", *_KEY]
-    cols = [f"n_{c}" for c in _KEY]
+    """keys: host, path, key; one row per key. Gives (key, n_key): the partner's key, null for a page alone on its host."""
+    order = ["host", "path", "key"]
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -216,34 +215,28 @@ def neighbours(keys: DataFrame) -> DataFrame:
             yield _frame([_choose(before, held, None)], part)
 
     def _choose(before, row, after):
-        near = [(_common(x[1], row[1]), x is before, x[2:]) for x in (before, after) if x is not None and x[0] == row[0]]
-        common, earlier, key = max(near, key=lambda x: x[:2], default=(-1, False, (None,) * 3))
-        return (*row, *key, common, earlier, before is None, after is None)
+        near = [(_common(x[1], row[1]), x is before, x[2]) for x in (before, after) if x is not None and x[0] == row[0]]
+        common, earlier, key = max(near, key=lambda x: x[:2], default=(-1, False, None))
+        return (*row, key, common, earlier, before is None, after is None)
 
     def _frame(rows, part):
-        out = pd.DataFrame(rows, columns=[*order, *cols, "common", "earlier", "first", "last"])
-        out["part"] = part
-        return out.astype({c: "Int64" for c in ["page_id", "url_key", "html_key", *cols]})
+        return pd.DataFrame(rows, columns=[*order, "n_key", "common", "earlier", "first", "last"]).assign(part=part)
 
-    schema = "host string, path string, page_id long, url_key long, html_key long, n_page_id long, n_url_key long, n_html_key long, common int, earlier boolean, first boolean, last boolean, part int"
+    schema = "host string, path string, key string, n_key string, common int, earlier boolean, first boolean, last boolean, part int"
     linked = keys.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(link, schema)
     linked = write_table(linked, "neighbours")
     ends = linked.where("first or last").orderBy("part", F.desc("first")).collect()  # two rows a partition
-    better: dict[tuple, tuple] = {}
+    better: dict[str, tuple] = {}
     for x, y in zip(ends, ends[1:], strict=False):
         if x["part"] != y["part"] and x["host"] == y["host"]:
             for row, other, earlier in ((x, y, False), (y, x, True)):
-                key = tuple(row[c] for c in _KEY)
-                had = better.get(key, (row["common"], row["earlier"], None))
-                new = (_common(other["path"], row["path"]), earlier, tuple(other[c] for c in _KEY))
-                better[key] = max(had, new, key=lambda z: z[:2])
-    better = {k: v for k, v in better.items() if v[2] is not None}
-    if not better:
-        return linked.select(*_KEY, *cols)
-    fix = keys.sparkSession.createDataFrame([(*k, *v[2]) for k, v in better.items()], "page_id long, url_key long, html_key long, f_page_id long, f_url_key long, f_html_key long")
-    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"f.{c}")) for c in _KEY]
-    joined = linked.alias("l").join(F.broadcast(fix.alias("f")), on, "left")  # at most two rows a partition
-    return joined.select(*[F.col(f"l.{c}") for c in _KEY], *[F.when(F.col("f_html_key").isNotNull(), F.col(f"f_{c}")).otherwise(F.col(f"l.n_{c}")).alias(f"n_{c}") for c in _KEY])
+                had = better.get(row["key"], (row["common"], row["earlier"], None))
+                better[row["key"]] = max(had, (_common(other["path"], row["path"]), earlier, other["key"]), key=lambda z: z[:2])
+    fix = [(k, v[2]) for k, v in better.items() if v[2] is not None]
+    if not fix:
+        return linked.select("key", "n_key")
+    fixed = F.broadcast(keys.sparkSession.createDataFrame(fix, "key string, f_key string"))  # at most two rows a partition
+    return linked.join(fixed, "key", "left").select("key", F.coalesce("f_key", "n_key").alias("n_key"))
 
 
 def _common(a: str, b: str) -> int:
@@ -256,42 +249,36 @@ def _common(a: str, b: str) -> int:
 
 
 def shared_lines(keyed: DataFrame) -> DataFrame:
-    """Key columns and ``shared``: indices of lines that the page shares with its neighbour."""
+    """key and ``shared``: indices of lines that the page shares with its neighbour."""
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b["lines"] = [[xxhash.xxh64_intdigest(t) - (1 << 63) for t, _, _ in page_lines(x or "")] for x in b["html"]]
-            b["page_id"] = b["page_id"].astype("Int64")
-            yield b[["host", "path", *_KEY, "lines"]]
+            yield b[["host", "path", "key", "lines"]]
 
-    rows = keyed.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), *_KEY, "html")
-    lines = write_table(rows.mapInPandas(digest, "host string, path string, page_id long, url_key long, html_key long, lines array<long>").dropDuplicates(_KEY), "lines")
-    pairs = neighbours(lines.drop("lines")).where("n_html_key is not null")
-    mine = lines.select(*_KEY, "lines")
-    theirs = lines.select(*[F.col(c).alias(f"n_{c}") for c in _KEY], F.col("lines").alias("n_lines"))
-    both = pairs.join(mine, [pairs[c].eqNullSafe(mine[c]) for c in _KEY]).drop(*[mine[c] for c in _KEY])
-    both = both.join(theirs, [both[f"n_{c}"].eqNullSafe(theirs[f"n_{c}"]) for c in _KEY])
+    rows = keyed.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "key", "html")
+    lines = write_table(rows.mapInPandas(digest, "host string, path string, key string, lines array<long>").dropDuplicates(["key"]), "lines")
+    pairs = neighbours(lines.drop("lines")).where("n_key is not null")
+    both = pairs.join(lines.select("key", "lines"), "key").join(lines.select(F.col("key").alias("n_key"), F.col("lines").alias("n_lines")), "n_key")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b["shared"] = [sorted(common_lines(x.tolist(), y.tolist())) for x, y in zip(b["lines"], b["n_lines"], strict=True)]
-            b["page_id"] = b["page_id"].astype("Int64")
-            yield b[[*_KEY, "shared"]]
+            yield b[["key", "shared"]]
 
-    return both.select(*[both[c] for c in _KEY], "lines", "n_lines").mapInPandas(align, "page_id long, url_key long, html_key long, shared array<int>").where("size(shared) > 0")
+    return both.select("key", "lines", "n_lines").mapInPandas(align, "key string, shared array<int>").where("size(shared) > 0")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars, n_shared (lines shared with the neighbour) for every page."""
     keyed = _keyed(pages, id_col, url_col, html_col)
-    shared = write_table(shared_lines(keyed), "shared")
-    on = [keyed[c].eqNullSafe(shared[c]) for c in _KEY]
-    rows = keyed.join(shared, on, "left").select(keyed["page_id"], "url", "html", "shared")
+    rows = keyed.join(write_table(shared_lines(keyed), "shared"), "key", "left").select("page_id", "url", "html", "shared")
 
     def text_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             shared = [set() if s is None else set(s.tolist()) for s in b["shared"]]
             text = [main_text(page_lines(x or ""), s) for x, s in zip(b["html"], shared, strict=True)]
-            yield pd.DataFrame({"page_id": b["page_id"].astype("Int64"), "url": b["url"], "text": text, "n_chars": [len(t) for t in text], "n_shared": [len(s) for s in shared]})
+            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": [len(t) for t in text], "n_shared": [len(s) for s in shared]})
 
-    return rows.mapInPandas(text_of, "page_id long, url string, text string, n_chars long, n_shared long")
+    out = rows.mapInPandas(text_of, "page_id string, url string, text string, n_chars long, n_shared long")
+    return out.withColumn("page_id", F.col("page_id").cast("long"))

@@ -153,13 +153,15 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 parts = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PARTS)
                 rows.append((doc, xxhash.xxh3_128_digest(s.tobytes()), len(s), parts.tolist(), None, task, None))
             out = pd.DataFrame(rows, columns=["doc_id", "digest", "n", "parts", "block", "task", "counts"])
-            yield out.astype({"doc_id": "Int64", "block": "Int32"})
+            yield out.astype({"block": "Int32"})
         held = counts.reshape(-1, BLOCK)
         for k in range(len(held)):
             if held[k].any():
-                yield pd.DataFrame({"doc_id": [None], "digest": [None], "n": [0], "parts": [None], "block": [k], "task": [task], "counts": [held[k].tobytes()]}).astype({"doc_id": "Int64"})
+                yield pd.DataFrame({"doc_id": [None], "digest": [None], "n": [0], "parts": [None], "block": [k], "task": [task], "counts": [held[k].tobytes()]})
 
-    return docs.mapInPandas(run, "doc_id long, digest binary, n long, parts array<int>, block int, task int, counts binary")
+    # ids go as text: pandas would turn longs with nulls into doubles
+    out = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, "doc_id string, digest binary, n long, parts array<int>, block int, task int, counts binary")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _merged_counts(sets: DataFrame) -> np.ndarray:
@@ -191,7 +193,7 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int) ->
                 if len(s):
                     rare = np.argsort(order[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")
                     rows.append((doc, len(s), s[rare[: prefix_size(len(s), percent)]].view(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "prefix"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "prefix"])
 
     return docs.mapInPandas(run, "doc_id long, n long, prefix array<long>")
 
@@ -251,7 +253,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     sets = write_table(_sets(docs, width), "sets")
     rows = sets.where("block is null").select("doc_id", "digest", "n", "parts")
     linked = rows.where("n > 0 and doc_id is not null")
-    classes = write_table(linked.groupBy("digest").agg(F.min("doc_id").alias("class_id")), "classes")
+    classes = write_table(linked.groupBy("digest").agg(F.min("doc_id").alias("class_id")), "classes", rows=rows.count())
     parts = write_table(linked.join(classes, "digest").where(F.col("doc_id") == F.col("class_id")).select("doc_id", "digest", "n", "parts").dropDuplicates(["doc_id", "digest"]), "parts")
     prefixes = _prefixes(docs.where("doc_id is not null"), _merged_counts(sets), width, percent).join(parts.select("doc_id").distinct(), "doc_id", "left_semi")
     prefixes = write_table(prefixes, "prefixes")
@@ -266,7 +268,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     hubs = index.groupBy("gram").agg(F.min(F.struct("pos", "doc_id", "n")).alias("h")).select("gram", "h.pos", "h.n", F.col("h.doc_id").alias("hub"))
     spokes = index.alias("a").join(hubs.alias("b"), "gram").where(compatible("a", "b", percent) & (F.col("doc_id") != F.col("hub"))).select(*_pairs(F.col("doc_id"), F.col("hub")))
     first = write_table(_verified(own.unionByName(spokes).distinct(), parts, docs, width, percent), "links")
-    comp = write_table(connected_components(first.select(F.col("a").alias("u"), F.col("b").alias("v"))), "tied")
+    comp = write_table(connected_components(first.select(F.col("a").alias("u"), F.col("b").alias("v"))), "tied", rows=2 * first.count())
 
     # what is not tied yet, within n-grams that still hold more than one component
     tied = _with_component(index, comp, "doc_id", "comp")

@@ -269,7 +269,7 @@ def sniff(df: DataFrame, value_col: str, declared_col: str | None = None, carve:
     return out.withColumn("type_was_wrong", ~F.col("media_type").eqNullSafe(F.col(declared_col))) if declared_col else out
 
 
-ROWS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+ROWS = "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: str = "image/png", keep_media: bool = False) -> DataFrame:
@@ -288,8 +288,8 @@ def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 inside = [f"{k}@{a}+{n}" for a, n, k in sniffer.find(back)]
                 feature = f"{kind};declared={declared};corrected={kind != declared};samples={len(back)};sum={int(np.frombuffer(back, np.uint8).sum(dtype=np.int64))};embedded={','.join(inside)}"
                 out.append((doc, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, *[media] * keep_media))
-            frame = pd.DataFrame(out, columns=[x.split()[0] for x in ROWS.split(", ")] + ["media"] * keep_media)
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in ROWS.split(", ")] + ["media"] * keep_media)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(rows, ROWS + ", media binary" * keep_media)
+    # ids go as text: pandas would turn longs with nulls into doubles
+    stored = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(rows, ROWS + ", media binary" * keep_media)
+    return stored.withColumn("doc_id", F.col("doc_id").cast("long"))

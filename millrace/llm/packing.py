@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.scratch import write_table
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 RANKS_PER_TASK = 1 << 16
 MAX_MOVES = 2000  # accepted exchanges of the local search; every one raises the squared fill
 CACHED_WORDS, CACHED_BYTES = 250_000, 48
@@ -148,11 +148,11 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: i
                     part = ids[at : at + 4 * capacity]
                     row = (doc, k, at // 4, len(part) // 4, zlib.crc32(part))
                     rows.append((*row, np.frombuffer(part, "<u4").astype("int64").tolist()) if keep_ids else row)
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut, PIECES + ", ids array<long>" * keep_ids)
+    # ids go as text: pandas would turn longs with nulls into doubles
+    out = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut, PIECES + ", ids array<long>" * keep_ids)
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 class _Groups:
@@ -317,11 +317,10 @@ def assign(pieces: DataFrame, capacity: int = 4096, max_moves: int = MAX_MOVES)
             nth = rank - slot[:, 1]
             b["sequence_id"] = slot[:, 2] + nth // slot[:, 3]
             b["offset"] = slot[:, 4] + nth % slot[:, 3] * length
-            b["doc_id"] = b["doc_id"].astype("Int64")
             yield b[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
-    out = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "_rank")
-    return out.mapInPandas(place, PIECES + ", sequence_id long, offset long")
+    out = ranked.select(F.col("doc_id").cast("string").alias("doc_id"), "piece", "start", "length", "ids_crc32", "_rank")
+    return out.mapInPandas(place, PIECES + ", sequence_id long, offset long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", max_moves: int = MAX_MOVES) -> DataFrame:

@@ -142,7 +142,7 @@ def _distance(k: int) -> Column:
     return sum((F.col(f"p{i}_{j}") * d[i] * d[j] * (1 if i == j else 2) for i in range(k) for j in range(i, k)), F.lit(0.0))
 
 
-def _inverted(moments: DataFrame, name: str) -> DataFrame:
+def _inverted(moments: DataFrame, groups: int) -> DataFrame:
     """Centres and inverse covariances from one row of moments a group."""
     k = len(VECTOR)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
@@ -164,7 +164,7 @@ def _inverted(moments: DataFrame, name: str) -> DataFrame:
                 out[f"p{i}_{j}"] = inverse[:, i, j]
             yield out
 
-    return write_table(moments.mapInPandas(invert, schema), name)
+    return write_table(moments.mapInPandas(invert, schema), "mcd", rows=groups)
 
 
 def _moments(rows: DataFrame) -> DataFrame:
@@ -199,14 +199,16 @@ def mcd(rows: DataFrame, h: float = 0.75, steps: int = 3, min_rows: int = 50) ->
     start = rows.groupBy("grp").agg(F.count("*").alias("rows"), *[F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(f"q_{v}") for v in VECTOR])
     spread = [F.greatest((F.col(f"q_{v}")[2] - F.col(f"q_{v}")[0]) / 1.349, F.lit(FLOOR[i])) for i, v in enumerate(VECTOR)]
     start = start.where(F.col("rows") >= min_rows).select("grp", "rows", *[F.col(f"q_{v}")[1].alias(f"c{i}") for i, v in enumerate(VECTOR)], *[(1 / (spread[i] * spread[i]) if i == j else F.lit(0.0)).alias(f"p{i}_{j}") for i in range(k) for j in range(i, k)])
-    fit = write_table(start, "mcd")
+    groups = rows.select("grp").distinct().count()
+    fit = write_table(start, "mcd", rows=groups)
     for step in range(steps + 1):
-        at = rows.join(fit.drop("rows"), "grp").withColumn("d2", _distance(k))
-        cut = write_table(at.groupBy("grp").agg(F.percentile_approx("d2", h, 5000).alias("cut")), "cut")
+        at = rows.join(_small(fit).drop("rows"), "grp").withColumn("d2", _distance(k))
+        cut = write_table(at.groupBy("grp").agg(F.percentile_approx("d2", h, 5000).alias("cut")), "cut", rows=groups)
         if step == steps:
-            return fit.join(cut.select("grp", (F.lit(chi2_quantile(h, k)) / F.greatest("cut", F.lit(1e-12))).alias("scale")), "grp")
-        near = at.join(cut, "grp").where(F.col("d2") <= F.col("cut"))
-        fit = _inverted(_moments(near), "mcd")
+            scale = F.lit(chi2_quantile(h, k)) / F.greatest("cut", F.lit(1e-12))
+            return write_table(fit.join(_small(cut).select("grp", scale.alias("scale")), "grp"), "fit", rows=groups)
+        near = at.join(_small(cut), "grp").where(F.col("d2") <= F.col("cut"))
+        fit = _inverted(_moments(near), groups)
     raise AssertionError
 
 
@@ -221,7 +223,7 @@ def _fitted(stats: DataFrame, h: float, steps: int, min_rows: int) -> tuple[list
     good = stats.where(~base_failed()).withColumns(_vectors(mean))
     groups = _small(_pooled(good, min_rows))
     rows = write_table(_grouped(good, groups).select("doc_id", "grp", *COUNTS, *VECTOR), "vectors")
-    return mean, groups, rows, _small(write_table(mcd(rows, h, steps, min_rows).drop("rows"), "fit"))
+    return mean, groups, rows, _small(mcd(rows, h, steps, min_rows).drop("rows"))
 
 
 def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
