@@ -32,6 +32,7 @@ SHAPES = {
 #: Tokens that look like identifiers: at least six characters of these, one of them a digit or an at sign.
 MENTION = r"(?<![A-Za-z0-9@._%+-])(?=[A-Za-z._%+-]*+[0-9@])[A-Za-z0-9@._%+-]{6,}+"
 CONTEXT_CHARS = 80
+BLOCK = 256
 _SPAN = "array<struct<kind:int,start:int,end:int,item:string,left:string>>"
 
 
@@ -69,7 +70,15 @@ def _located(text: Column, shape: str, kind: int, valid) -> Column:
         span = F.struct(F.lit(kind).alias("kind"), at.alias("start"), (at + F.length(s["hit"])).alias("end"), s["hit"].alias("item"), s["left"].alias("left"))
         return F.struct((at + F.length(s["hit"])).alias("at"), F.when(valid(s["hit"]), F.concat(a["out"], F.array(span).cast(_SPAN))).otherwise(a["out"]).alias("out"))
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+    def shifted(spans: Column, by: Column) -> Column:
+        return F.transform(spans, lambda x: F.struct(x["kind"].alias("kind"), (x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["item"].alias("item"), x["left"].alias("left")))
+
+    # appending copies, so matches are added up in blocks and blocks then placed; the one-element array binds the steps, which lambdas would else evaluate anew
+    last = lambda s: F.floor(F.greatest(F.size(s) - 1, F.lit(0)) / BLOCK).cast("int")
+    blocks = F.transform(F.array(steps), lambda s: F.transform(F.sequence(F.lit(0), last(s)), lambda k: F.aggregate(F.slice(s, k * BLOCK + 1, BLOCK), F.struct(F.lit(0).alias("at"), none.alias("out")), step)))[0]
+    lists = F.array().cast(f"array<{_SPAN}>")
+    placed = lambda a, x: F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["out"], F.array(shifted(x["out"], a["at"])).cast(f"array<{_SPAN}>")).alias("out"))
+    return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), lists.alias("out")), placed, lambda a: F.flatten(a["out"]))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
