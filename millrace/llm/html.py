@@ -249,17 +249,19 @@ def _common(a: str, b: str) -> int:
 
 
 def shared_lines(keyed: DataFrame) -> DataFrame:
-    """key and ``shared``: indices of lines that the page shares with its neighbour."""
+    """key and ``shared``: indices of lines that the page shares with its neighbour, where that can matter: an article's lines stay."""
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["lines"] = [[xxhash.xxh64_intdigest(t) - (1 << 63) for t, _, _ in page_lines(x or "")] for x in b["html"]]
-            yield b[["host", "path", "key", "lines"]]
+            parsed = [page_lines(x or "") for x in b["html"]]
+            b["lines"] = [[xxhash.xxh64_intdigest(t) - (1 << 63) for t, _, _ in lines] for lines in parsed]
+            b["settled"] = [any(zone == MAIN for _, zone, _ in lines) for lines in parsed]
+            yield b[["host", "path", "key", "settled", "lines"]]
 
     rows = keyed.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "key", "html")
-    lines = write_table(rows.mapInPandas(digest, "host string, path string, key string, lines array<long>").dropDuplicates(["key"]), "lines")
-    pairs = neighbours(lines.drop("lines")).where("n_key is not null")
-    both = pairs.join(lines.select("key", "lines"), "key").join(lines.select(F.col("key").alias("n_key"), F.col("lines").alias("n_lines")), "n_key")
+    lines = write_table(rows.mapInPandas(digest, "host string, path string, key string, settled boolean, lines array<long>").dropDuplicates(["key"]), "lines")
+    pairs = neighbours(lines.drop("lines", "settled")).where("n_key is not null")
+    both = pairs.join(lines.where("not settled").select("key", "lines"), "key").join(lines.select(F.col("key").alias("n_key"), F.col("lines").alias("n_lines")), "n_key")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -270,7 +272,7 @@ def shared_lines(keyed: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars, n_shared (lines shared with the neighbour) for every page."""
+    """page_id, url, text, n_chars for every page."""
     keyed = _keyed(pages, id_col, url_col, html_col)
     rows = keyed.join(write_table(shared_lines(keyed), "shared"), "key", "left").select("page_id", "url", "html", "shared")
 
@@ -278,7 +280,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for b in batches:
             shared = [set() if s is None else set(s.tolist()) for s in b["shared"]]
             text = [main_text(page_lines(x or ""), s) for x, s in zip(b["html"], shared, strict=True)]
-            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": [len(t) for t in text], "n_shared": [len(s) for s in shared]})
+            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": [len(t) for t in text]})
 
-    out = rows.mapInPandas(text_of, "page_id string, url string, text string, n_chars long, n_shared long")
+    out = rows.mapInPandas(text_of, "page_id string, url string, text string, n_chars long")
     return out.withColumn("page_id", F.col("page_id").cast("long"))

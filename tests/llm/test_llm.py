@@ -259,7 +259,7 @@ def base_spans(text):
     return ",".join(x[2] for x in sorted(out))
 
 
-TRICKY = ["a@b.c_d@e.f", "x@y", "1.2.3.4.5.6.7.8", "999.1.1.1 é 4491382641088554x", "+1 (372) 555-7739 +44", "0001.2.3.4", "🙂a@b.co@d.ef", "4111 1111-1111 1111 22", "+1+1234567890", "a" * 30_000, "a@b" + ".c" * 20_000, "1" * 30_000, "1." * 20_000, "+1 " * 5_000, "0000000000000255.1.1.1"]
+TRICKY = ["a@b.c_d@e.f", "x@y", "1.2.3.4.5.6.7.8", "999.1.1.1 é 4491382641088554x", "+1 (372) 555-7739 +44", "0001.2.3.4", "🙂a@b.co@d.ef", "4111 1111-1111 1111 22", "+1+1234567890", "a" * 3_000, "a@b" + ".c" * 2_000, "1" * 3_000, "1." * 2_000, "+1 " * 1_000, "0000000000000255.1.1.1"]
 
 
 def test_pii_base_spans(spark, odd, data):
