@@ -87,7 +87,7 @@ def chunk_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     sizes.append(end - at)
                     digests.append(xxhash.xxh3_128_digest(raw[at:end]))
                     at = end
-            yield pd.DataFrame({"doc_id": ids, "text_key": np.array(keys, np.int64), "at": np.array(ats, np.int32), "size": np.array(sizes, np.int32), "digest": digests})
+            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype=object), "text_key": np.array(keys, np.int64), "at": np.array(ats, np.int32), "size": np.array(sizes, np.int32), "digest": pd.Series(digests, dtype=object)})
 
     # ids go as text: pandas would turn longs with nulls into doubles
     rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut, "doc_id string, text_key long, at int, size int, digest binary")
