@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import jaccard, mixing, packing, pii, quality
 from millrace.llm.queries import vocabulary_path
-from millrace.llm.scratch import write_table
+from millrace.llm.scratch import small_batches, write_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -29,6 +29,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return mixing.sample(docs)
 
 
