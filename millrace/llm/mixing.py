@@ -3,8 +3,10 @@
 Documents are counted into cells of source, language and topic with their token weight. Raking multiplies
 the cells by one factor per value of each dimension until every margin has its target share; a document
 is then kept with its cell's calibrated probability, drawn from a hash of its id and the seed, so a rerun
-or a lost executor gives the same sample. A kept document has weight 1: probabilities are scaled so that
-the largest is 1.
+or a lost executor gives the same sample. A kept document has weight 1, so the factors need a scale: the
+least one at which cells that would need a probability above 1 (they get 1) fall short of the calibrated
+tokens by at most ``slack`` (1 %) of all of them, and by at most that part of each value's own target
+where a target is given. A rare cell so costs itself alone, unless a given target asks for it.
 
 Cells are sums, combined before the shuffle, so a hot source costs its rows. Up to ``DRIVER_CELLS`` cells
 (counted first) are raked on the driver; more are raked as a table, by the same steps, with the same
@@ -19,7 +21,7 @@ they are; the operator's own names begin with ``_mix``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -33,6 +35,8 @@ DRIVER_CELLS = 200_000
 NULL_VALUE = "\0null"
 #: Powers that flatten the natural shares of dimensions without targets; 1 leaves them as they are.
 POWERS = {"source": 0.9, "lang": 0.9, "topic": 1.0}
+#: Part of the calibrated tokens that cells with a probability of 1 may fall short by; 0 scales by the largest factor.
+SLACK = 0.01
 Targets = Mapping[str, Mapping[str | None, float]] | None
 
 
@@ -116,7 +120,23 @@ def _rake_table(cells: DataFrame, targets: dict[str, DataFrame], rounds: int) ->
     return now
 
 
-def with_probability(docs: DataFrame, targets: Targets = None, power: Mapping[str, float] = POWERS, rounds: int = 100, source_col: str = "source", lang_col: str = "lang", text_col: str = "text", topic: Column | None = None, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+def _scale(above: Callable[[float], dict[object, tuple[float, float]]], slack: float) -> float:
+    """The least scale at which no group's cells fall short by more than ``slack`` of the group's calibrated tokens.
+
+    ``above(s)``: calibrated and natural tokens of each group's cells with a factor beyond s. The shortfall is convex
+    and piecewise linear in s, so Newton's steps from 0 rise to the solution and end there.
+    """
+    groups, scale = above(0.0), 0.0
+    spare = {g: slack * mass for g, (mass, _) in groups.items()}
+    while True:
+        steps = [(mass - spare[g]) / tokens for g, (mass, tokens) in groups.items() if tokens > 0]
+        if max(steps, default=0.0) <= scale * (1 + 1e-12):
+            return scale or 1.0
+        scale = max(steps)
+        groups = above(scale)
+
+
+def with_probability(docs: DataFrame, targets: Targets = None, power: Mapping[str, float] = POWERS, rounds: int = 100, source_col: str = "source", lang_col: str = "lang", text_col: str = "text", topic: Column | None = None, driver_cells: int = DRIVER_CELLS, slack: float = SLACK) -> DataFrame:
     """``docs`` with _mix_topic, _mix_tokens and _mix_probability. Dimensions without targets get their natural shares tempered by ``power``."""
     spark = docs.sparkSession
     rows = docs.withColumn("_mix_form", weighed(F.col(text_col)))
@@ -124,6 +144,7 @@ def with_probability(docs: DataFrame, targets: Targets = None, power: Mapping[st
     rows = rows.withColumns({f"_mix_{d}": F.coalesce(c.cast("string"), F.lit(NULL_VALUE)) for d, c in own.items()} | {"_mix_tokens": F.col("_mix_form.tokens")}).drop("_mix_form")
     keys = [f"_mix_{d}" for d in DIMS]
     cells = rows.groupBy(*keys).agg(F.sum("_mix_tokens").alias("_mix_tokens"))
+    named = {d: sorted({NULL_VALUE if v is None else v for v in targets[d]}) for d in DIMS if targets and d in targets}
     held = sorted(cells.limit(driver_cells + 1).collect())
     if len(held) <= driver_cells:
         total = sum(r["_mix_tokens"] for r in held) or 1.0
@@ -134,9 +155,22 @@ def with_probability(docs: DataFrame, targets: Targets = None, power: Mapping[st
         want = _targets(targets, natural, power)
         place = {d: {v: i for i, v in enumerate(want[d])} for d in DIMS}
         codes = np.array([[place[d][r[f"_mix_{d}"]] for d in DIMS] for r in held], dtype=np.int64).reshape(-1, len(DIMS))
-        factor = rake(codes, np.array([r["_mix_tokens"] for r in held], dtype=float), [np.array(list(want[d].values())) for d in DIMS], rounds)
-        raked = spark.createDataFrame([(*(r[k] for k in keys), float(f)) for r, f in zip(held, factor, strict=True)], ", ".join(f"{k} string" for k in keys) + ", _mix_factor double")
-        raked = F.broadcast(raked.withColumn("_mix_probability", F.col("_mix_factor") / float(factor.max(initial=0.0) or 1.0)).drop("_mix_factor"))
+        tokens = np.array([r["_mix_tokens"] for r in held], dtype=float)
+        factor = rake(codes, tokens, [np.array(list(want[d].values())) for d in DIMS], rounds)
+
+        def above(scale: float) -> dict[object, tuple[float, float]]:
+            now = np.where(factor > scale, tokens, 0.0)
+            out: dict[object, tuple[float, float]] = {None: (float(now @ factor), float(now.sum()))}
+            for i, d in enumerate(DIMS):
+                if d in named:
+                    mass, size = (np.bincount(codes[:, i], weights=w, minlength=len(place[d])) for w in (now * factor, now))
+                    out |= {(d, v): (float(mass[place[d][v]]), float(size[place[d][v]])) for v in named[d] if v in place[d]}
+            return out
+
+        scale = _scale(above, slack)
+        chance = np.minimum(1.0, factor / scale)
+        raked = spark.createDataFrame([(*(r[k] for k in keys), float(p)) for r, p in zip(held, chance, strict=True)], ", ".join(f"{k} string" for k in keys) + ", _mix_probability double")
+        raked = F.broadcast(raked)
     else:
         cells = write_table(cells, "cells")
         total = cells.agg(F.sum("_mix_tokens")).first()[0]
@@ -153,7 +187,17 @@ def with_probability(docs: DataFrame, targets: Targets = None, power: Mapping[st
             share = write_table(share.select(f"_mix_{d}", raw.alias("_mix_want")), "targets")
             tables[d] = share.withColumn("_mix_want", F.col("_mix_want") / (share.agg(F.sum("_mix_want")).first()[0] or 1.0))
         raked = _rake_table(cells, tables, rounds)
-        raked = raked.select(*keys, (F.col("_mix_factor") / raked.agg(F.max("_mix_factor")).first()[0]).alias("_mix_probability"))
+
+        def above(scale: float) -> dict[object, tuple[float, float]]:
+            now = raked.where(F.col("_mix_factor") > scale)
+            sums = [F.sum(F.col("_mix_tokens") * F.col("_mix_factor")), F.sum("_mix_tokens")]
+            out: dict[object, tuple[float, float]] = {None: tuple(x or 0.0 for x in now.agg(*sums).first())}
+            for d, values in named.items():
+                out |= {(d, r[0]): (r[1], r[2]) for r in now.where(F.col(f"_mix_{d}").isin(values)).groupBy(f"_mix_{d}").agg(*sums).collect()}
+            return out
+
+        scale = _scale(above, slack)
+        raked = raked.select(*keys, F.least(F.lit(1.0), F.col("_mix_factor") / scale).alias("_mix_probability"))
     return rows.join(raked, keys)
 
 

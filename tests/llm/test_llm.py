@@ -426,6 +426,30 @@ def test_sampled_shares_and_determinism(spark, odd):
     assert mixing.mix(odd).count() == odd.count() and mixing.sample(odd).columns == odd.columns
 
 
+@pytest.mark.parametrize("driver_cells", [10**6, 0])
+def test_a_rare_value_does_not_drive_the_scale(spark, data, driver_cells):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang", "source")
+    rare = spark.createDataFrame([(BIG, "misspelt", "xx", "nowhere")], docs.schema)
+    more = {"driver_cells": driver_cells, "rounds": 30}
+    kept = lambda rows: {r.doc_id: r._mix_probability for r in mixing.mix(rows, **more).collect()}
+    without, with_rare = kept(docs), kept(docs.unionByName(rare))
+    assert with_rare.pop(BIG) == 1
+    mean = lambda p: sum(p.values()) / len(p)
+    assert mean(without) > 0.8 and mean(with_rare) == pytest.approx(mean(without), abs=0.02)
+
+
+def test_margins_fall_short_by_the_slack_at_most(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    for targets in (None, {"lang": {"en": 0.4, "de": 0.005}}):
+        rows = mixing.mix(docs, targets, slack=0.0).select("doc_id", "lang", "_mix_tokens", F.col("_mix_probability").alias("exact"))
+        rows = rows.join(mixing.mix(docs, targets).select("doc_id", "_mix_probability"), "doc_id").toPandas()
+        exact, kept = ((rows["_mix_tokens"] * rows[c]).groupby(rows["lang"]).sum() for c in ("exact", "_mix_probability"))
+        exact, kept = exact / exact.sum(), kept / kept.sum()
+        assert (exact - kept).abs().max() <= 0.0102
+        if targets:
+            assert kept["de"] == pytest.approx(0.005, rel=0.011) and kept["en"] == pytest.approx(0.4, rel=0.011)
+
+
 # 9 chat
 
 
