@@ -210,6 +210,20 @@ def test_change_points_and_particles():
     assert np.abs(out["mean"] - truth).mean() < 0.8 and out["regime_1"][80:].mean() > out["regime_1"][10:40].mean()
 
 
+def test_change_points_of_a_stream_longer_than_any_kept_window():
+    rng = np.random.default_rng(19)
+    z = np.concatenate([0.3 + 0.1 * rng.standard_normal(3500), 1.5 + rng.standard_normal(300)])
+    hazard, prior = 0.02, 1.0
+    log_p, n, total, want = np.zeros(1), np.zeros(1), np.zeros(1), []
+    for v in z:  # every run length, nothing dropped
+        var = prior / (1 + n * prior)
+        log_p = log_p - 0.5 * ((v - var * total) ** 2 / (1 + var) + np.log1p(var))
+        log_p -= log_p.max() + np.log(np.exp(log_p - log_p.max()).sum())
+        log_p, n, total = np.r_[np.log(hazard), log_p + np.log(1 - hazard)], np.r_[0, n + 1], np.r_[0, total + v]
+        want.append(np.exp(log_p[:2]).sum() if len(want) else hazard)
+    assert np.allclose(G.change_points(z, hazard, prior), want, atol=1e-9)
+
+
 def test_unscented_is_exact_for_linear_maps():
     m, cov, a = np.array([1.0, -2]), np.array([[2, 0.3], [0.3, 1]]), np.array([[1.0, 2], [0, 1], [3, -1]])
     mean, out, cross = G.unscented(m, cov, lambda x: a @ x)
