@@ -301,8 +301,10 @@ def e13_change_points(spark: SparkSession, d: str) -> DataFrame:
 def e28_regime_particle_filter(spark: SparkSession, d: str) -> DataFrame:
     def track(p: pd.DataFrame) -> pd.DataFrame:
         switch = np.array([[0.95, 0.05], [0.1, 0.9]])
-        out = G.particle_filter(p["value"].to_numpy(float), 300, np.array([0.0, 0.5]), np.array([0.5, 2.0]), 20.0, switch, int(p["user_id"][0]))
+        user = p["user_id"][0]
+        seed = 2**64 if pd.isna(user) else int(user) % 2**64
+        out = G.particle_filter(p["value"].to_numpy(float), 300, np.array([0.0, 0.5]), np.array([0.5, 2.0]), 20.0, switch, seed)
         return pd.concat([p[["event_id"]], out.round(6)], axis=1)
 
-    e = _events(spark, d).where("user_id < 30").select("user_id", "ts", "event_id", "value")
+    e = _events(spark, d).select("user_id", "ts", "event_id", "value")
     return G.by_curve(e, BY, ORDER, track, "event_id long, mean double, sd double, low double, high double, regime_0 double, regime_1 double")

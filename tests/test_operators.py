@@ -224,6 +224,14 @@ def test_change_points_of_a_stream_longer_than_any_kept_window():
     assert np.allclose(G.change_points(z, hazard, prior), want, atol=1e-9)
 
 
+def test_particle_filter_query_covers_every_event(spark):
+    from millrace.plans.ordered import e28_regime_particle_filter
+
+    ids = [r.event_id for r in e28_regime_particle_filter(spark, "/root/testdata/sf0.01").select("event_id").collect()]
+    events = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    assert events.where("user_id >= 30").count() > 0 and sorted(ids) == sorted(r.event_id for r in events.select("event_id").collect())
+
+
 def test_unscented_is_exact_for_linear_maps():
     m, cov, a = np.array([1.0, -2]), np.array([[2, 0.3], [0.3, 1]]), np.array([[1.0, 2], [0, 1], [3, -1]])
     mean, out, cross = G.unscented(m, cov, lambda x: a @ x)
