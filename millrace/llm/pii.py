@@ -4,7 +4,7 @@ The fixed shapes (email, ip, card, phone) give seed entities. The one or two wor
 lexical pattern of its kind. Patterns and instances form a bipartite graph that is scored in rounds: a
 pattern's confidence is the score-weighted share of its mentions, an instance's score the noisy-or of its
 patterns' confidences. Patterns that are confident and supported by several different seeds then mark the
-identifier-like tokens that follow them and that the fixed shapes missed.
+identifier-like tokens and spaced digit groups that follow them and that the fixed shapes missed.
 
 Texts are scanned once and never shuffled: what moves are spans, mentions and patterns. Sums are combined
 before each shuffle. The mentions are joined to accepted patterns only.
@@ -30,7 +30,13 @@ SHAPES = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Tokens that look like identifiers: at least six characters of these, one of them a digit or an at sign.
-MENTION = r"(?<![A-Za-z0-9@._%+-])(?=[A-Za-z._%+-]*+[0-9@])[A-Za-z0-9@._%+-]{6,}+"
+TOKEN = r"(?<![A-Za-z0-9@._%+\ue000-])(?=[A-Za-z._%+-]*+[0-9@])[A-Za-z0-9@._%+-]{6,}+(?!\ue000)"
+_GROUP = r"[0-9]++(?:-[0-9]++)*+(?![._%+-]*+[A-Za-z0-9@\ue000])"
+#: Digit groups joined by single spaces, brackets or slashes; an opening bracket in front belongs to it where it is closed after the group.
+SPACED = r"(?<![A-Za-z0-9@._%+\ue000-])(?:\((?=[0-9-]++\)))?+" + _GROUP + r"(?:(?:\)[\x20/-]?|[\x20/]?\(|[\x20/])" + _GROUP + ")++"
+MENTION = f"{SPACED}|{TOKEN}"
+#: Stands for the characters of a base span where a mention is split.
+MASK = "\ue000"
 CONTEXT_CHARS = 80
 BLOCK = 256
 _SPAN = "array<struct<kind:int,start:int,end:int,item:string,left:string>>"
@@ -81,16 +87,31 @@ def _located(text: Column, shape: str, kind: int, valid) -> Column:
     return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), lists.alias("out")), placed, lambda a: F.flatten(a["out"]))
 
 
+def _mentioned(m: Column) -> Column:
+    """Spaced digit groups are a mention from seven digits on, as a phone is; unbroken tokens always."""
+    return ~m.rlike(r"[\x20()/]") | (F.length(_digits(m)) >= 7)
+
+
+def _split_off(m: Column, spans: Column) -> Column:
+    """The mentions left of ``m`` where ``spans`` overlap it; an unbroken token leaves none."""
+    low, high = lambda b: F.greatest(b["start"], m["start"]), lambda b: F.least(b["end"], m["end"])
+    masked = F.aggregate(spans, m["item"], lambda t, b: F.overlay(t, F.repeat(F.lit(MASK), high(b) - low(b)), low(b) - m["start"] + 1, high(b) - low(b)))
+    left = lambda x: F.when(F.substring(masked, 1, x["start"]).contains(MASK), F.substring_index(x["left"], MASK, -1)).otherwise(F.concat(m["left"], x["left"]))
+    pieces = _located(masked, MENTION, -1, _mentioned)
+    return F.transform(pieces, lambda x: F.struct(x["kind"].alias("kind"), (x["start"] + m["start"]).alias("start"), (x["end"] + m["start"]).alias("end"), x["item"].alias("item"), left(x).alias("left")))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key, base: spans of the fixed shapes by start and kind, mentions: identifier-like tokens outside of them."""
+    """doc_id, text_key, base: spans of the fixed shapes by start and kind, mentions: identifier-like tokens and spaced digit groups outside of them."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     none, text = F.array().cast(_SPAN), F.col("text")
     wants = {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9][\x20-]?[0-9]"), "phone": text.contains("+")}
     rows = rows.withColumns({f"_{k}": F.when(wants[k], _located(text, SHAPES[k], i, lambda m, k=k: _valid(k, m))).otherwise(none) for i, k in enumerate(KINDS)})
     found = F.array_sort(F.concat(*[f"_{k}" for k in KINDS]), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))
     rows = rows.withColumn("base", found)
-    mentions = F.when(text.rlike("[0-9@]"), _located(text, MENTION, -1, lambda m: F.lit(True))).otherwise(none)
-    free = F.filter(mentions, lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    mentions = F.when(text.rlike("[0-9@]"), _located(text, MENTION, -1, _mentioned)).otherwise(none)
+    over = lambda m: lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])
+    free = F.flatten(F.transform(mentions, lambda m: F.when(F.exists("base", over(m)), _split_off(m, F.filter("base", over(m)))).otherwise(F.array(m).cast(_SPAN))))
     return rows.select("doc_id", F.xxhash64("text").alias("text_key"), "base", free.alias("mentions"))
 
 
@@ -111,7 +132,7 @@ def _fits(kind: Column, item: Column) -> Column:
 def mention_edges(scanned: DataFrame) -> DataFrame:
     """One row per mention and context: doc_id, text_key, kind (-1: not a seed), start, end, item, pattern."""
     each = scanned.where("size(base) + size(mentions) > 0").select("doc_id", "text_key", F.explode(F.concat("base", "mentions")).alias("m"))
-    item = F.lower(F.regexp_replace(F.col("m.item"), r"[\x20()-]", ""))
+    item = F.lower(F.regexp_replace(F.col("m.item"), r"[\x20()/-]", ""))
     return each.select("doc_id", "text_key", "m.kind", "m.start", "m.end", item.alias("item"), F.explode(_contexts(F.col("m.left"))).alias("pattern"))
 
 

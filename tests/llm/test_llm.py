@@ -277,6 +277,15 @@ def test_pii_bootstraps_unseen_identifiers(spark):
     assert clean[40] == "other words then reach me at <email> or not" and clean[41] == texts[41] and "@" not in clean[7]
 
 
+def test_pii_bootstraps_spaced_layouts(spark):
+    seeds = [f"write to\nphone: +49 30 12345{i:02d} today" for i in range(40)] + [f"pay by\ncard: {n} now" for n in ("4111111111111111", "5500005555555559", "4012888888881881", "5105105105105100", "4222222222222220", "4000056655665556", "5200828282828210", "4242424242424242")]
+    unseen = {"phone: 020 7946 0958 ok": "phone:7:20", "phone: (030) 123 4567.": "phone:7:21", "phone: 030/123 4567": "phone:7:19", "phone: 555-123-4567": "phone:7:19", "card: 4111 1111 1111 1112, ok": "card:6:25", "phone: 1 2 3": "", "phone: 030 123 4567/+49 30 1234567 ok": "phone:7:19,phone:20:34"}
+    docs = frame(spark, seeds + list(unseen))
+    got = {r.doc_id: r.spans for r in pii.pii_report(docs).collect()}
+    assert [got[len(seeds) + i] for i in range(len(unseen))] == list(unseen.values())
+    assert pii.redact(docs).where(F.col("doc_id") == len(seeds) + 1).first().text == "phone: <phone>."
+
+
 def test_redaction_merges_overlaps_and_keeps_columns(spark, odd):
     assert pii.redact(odd).columns == odd.columns and pii.redact(odd).count() == odd.count()
     assert pii.redact(frame(spark, ["é 1.2.3.4@mail.org +1 (372) 555-7739 end"])).first().text == "é <email> <phone> end"
