@@ -15,6 +15,13 @@ each. An empty table gives an empty result. Extra columns are not read.
 
 from __future__ import annotations
 
+import html as entities
+import re
+from collections.abc import Iterator
+from html.entities import html5 as HTML5
+from urllib.parse import urljoin
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,14 +60,42 @@ def form_key(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(host, path, F.when(F.size(own) > 0, F.concat(F.lit("?"), F.array_join(own, "&"))).otherwise(F.lit(""))))
 
 
-_TAG = r"(?is)<(?:link|meta)\b[^>]{0,4000}>"
+_TAG = r"(?is)<(?:link|meta)\b[^>]*+>"
+_BASE = r"(?is)<base\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+_REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*+(?:;|(?!=)))")
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
+
+
+def _decoded(href: str) -> str:
+    """Character references as in an attribute: a name without a semicolon counts only where no letter, digit or ``=`` follows."""
+    return _REFERENCE.sub(lambda m: entities.unescape(m[0]) if m[0][1] == "#" else HTML5.get(m[0][1:], m[0]), href)
+
+
+def _joined(base: str, href: str) -> str:
+    if _SCHEME.match(href):
+        return href
+    try:
+        return urljoin(base, href)
+    except ValueError:
+        return href
+
+
+def _resolve(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for hrefs, urls, bases in batches:
+        out = []
+        for links, url, base in zip(hrefs, urls, bases, strict=True):
+            start = _joined(url or "", _decoded(base)) if base else url or ""
+            out.append(None if links is None else [_joined(start, _decoded(x)) for x in links])
+        yield pd.Series(out, dtype=object)
 
 
-def links_of(html: Column) -> Column:
-    """Targets of canonical links and of refresh redirects; absolute urls only."""
+def links_of(html: Column, url: Column) -> Column:
+    """Targets of canonical links and of refresh redirects, resolved against the page's url or its ``base`` element; those without ``://`` are left out."""
     tags = F.filter(F.regexp_extract_all(html, F.lit(_TAG), F.lit(0)), lambda t: t.rlike(r"(?i)\bcanonical\b|\brefresh\b"))
     href = F.transform(tags, lambda t: F.when(t.rlike(r"(?i)\brel\s*=\s*[\"']?canonical"), F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)).when(t.rlike(r"(?i)\bhttp-equiv\s*=\s*[\"']?refresh"), F.regexp_extract(t, r"(?is)\bcontent\s*=\s*[\"']?[^\"'>]*?url\s*=\s*([^\"'\s>]+)", 1)))
-    return F.filter(href, lambda u: u.contains("://"))
+    href = F.when(html.rlike(r"(?i)canonical|http-equiv"), F.filter(href, lambda u: u != ""))
+    based = F.when(html.rlike(r"(?i)<base\b"), F.regexp_extract(html, _BASE, 1))
+    return F.filter(F.pandas_udf(_resolve, "array<string>")(href, url, based), lambda u: u.contains("://"))
 
 
 def _node(url: Column) -> Column:
@@ -77,7 +112,7 @@ def judge_urls(pages: DataFrame, redirects: DataFrame | None = None, rules: list
     html = F.col(html_col).cast("string") if html_col else F.lit(None).cast("string")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
     rule, verdict = rule_of(host_of(url), path_of(url), rules)
-    linked = F.when(F.col("html").rlike(r"(?i)canonical|http-equiv"), F.transform(links_of(F.col("html")), _node))
+    linked = F.transform(links_of(F.col("html"), url), _node)
     flat = write_table(rows.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), rule.alias("rule"), verdict.alias("own"), _node(url).alias("node"), linked.alias("links")), "urls")
 
     edges = flat.where("node is not null and size(links) > 0").select(F.col("node").alias("u"), F.explode("links").alias("v"))

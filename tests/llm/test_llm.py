@@ -181,6 +181,22 @@ def test_components_match_union_find(spark):
     assert got == {x: find(x) for x in parent}
 
 
+def test_relative_and_escaped_links_are_edges(spark):
+    long = "x" * 5000
+    tag = {
+        "https://a.example/de/p/one": '<link rel="canonical" href="/x/target1">',
+        "https://a.example/de/p/two": '<meta http-equiv="refresh" content="0; url=target2.html">',
+        "https://a.example/de/p/three": '<link rel=canonical href="//b.example/target3">',
+        "https://a.example/de/p/four": '<link rel="canonical" href="https://b.example/q?a=1&amp;b=2&#38;copy=3&copy=4">',
+        "https://a.example/de/p/five": f'<link rel="canonical" data-x="{long}" href="../target5">',
+        "https://a.example/de/p/six": '<base href="//b.example/d/"><link rel="canonical" href="target6">',
+    }
+    ends = ["https://a.example/x/target1", "https://a.example/de/p/target2.html", "https://b.example/target3", "https://b.example/q?a=1&b=2&copy=3&copy=4", "https://a.example/de/target5", "https://b.example/d/target6"]
+    pages = [(i, u, h) for i, (u, h) in enumerate([*tag.items(), *((e, None) for e in ends), ("no scheme", '<link rel="canonical" href="/x">')])]
+    got = {r.page_id: r.component for r in urls.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == got[i + len(ends)] for i in range(len(ends))) and len({got[i] for i in range(len(ends))}) == len(ends)
+
+
 # 4 html
 
 
