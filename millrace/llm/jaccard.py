@@ -1,6 +1,6 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
-1. Texts with equal shingle sets form a class; its smallest id stands for it. One pass also counts every
+1. Texts with equal shingle sets, by a digest of their words, form a class; its smallest id stands for it. One pass also counts every
    shingle into a table of fixed size, whose merged counts order shingles rare-first. An order only has to
    be the same everywhere, so shared counters cost speed, never a link.
 2. Each representative gives its prefix n-grams. Two sets that reach the threshold share one, at positions
@@ -11,8 +11,8 @@
    the n-gram comes earliest, which has the least of its own. What these links tie together needs no further
    comparison: a group of near copies costs its size, not its square.
 4. Then every pair of rows in compatible cells that is not tied yet is compared. Pairs are reduced to one
-   each, pass the suffix filter on counts over parts of the hash space, and are verified once on the sets
-   made anew from both whole texts.
+   each, pass the suffix filter on counts over parts of the hash space, and are verified once on the words
+   of both whole texts, not on hashes.
 
 Only components are claimed of the result: links inside what step 3 tied are not listed.
 
@@ -23,8 +23,9 @@ component and ties nothing. An empty table gives an empty result. Extra columns
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+import hashlib
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import connected_components
-from millrace.llm.scratch import write_table
+from millrace.llm.scratch import drop_since, release_memory, tables_made, write_table
 
 COUNTERS, BLOCK = 1 << 21, 1 << 15
 PARTS = 64
@@ -48,78 +49,64 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = np.uint64(0x9FB21C651E98DF25)  # odd, so that it has an inverse
-_UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BLOCK_BYTES = 1 << 19
 
 
-@lru_cache(1)
-def _byte_codes() -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(bytes([i])) for i in range(256)], np.uint64)
+def words_of(text: str | None) -> list[bytes]:
+    """The words, A-Z in lower case; ``bytes`` knows just these letters and the six ASCII white spaces."""
+    return (text or "").encode("utf-8").lower().split()
 
 
-class _Powers:
-    """Powers of the base and of its inverse, as far as any text so far needed them."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            with np.errstate(over="ignore"):
-                self.up = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, _BASE)]))
-                self.down = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, _UNBASE)]))
-        return self.up[:n], self.down[:n]
-
-
-def _word_hashes(raw: bytes, powers: _Powers) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every word of ``raw``: polynomials over its bytes from one running sum, mixed with its length."""
-    data = np.frombuffer(raw, np.uint8)
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~_BLANK[data]
-    step = np.diff(inside)
-    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    up, down = powers.get(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_byte_codes()[data] * up[:-1], out=total[1:])
-    return _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
-
-
-def shingle_sets(texts: list[str | None], width: int = 3) -> Iterator[np.ndarray]:
-    """Sorted distinct 64-bit hashes of each text's word n-grams. Texts are hashed in blocks of about half a megabyte."""
-    powers, block, size = _Powers(), [], 0
+def shingle_sets(texts: Iterable[str | None], width: int = 3) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """Each text's words, the sorted distinct 64-bit hashes of its word n-grams, and the first place of each. Texts are hashed in blocks of about half a megabyte."""
+    block, size = [], 0
     for text in texts:
-        block.append((text or "").encode("utf-8").lower())  # bytes: A-Z only
-        size += len(block[-1]) + 1
+        block.append(words_of(text))
+        size += len(text or "")
         if size >= _BLOCK_BYTES:
-            yield from _block_sets(block, width, powers)
+            yield from _block_sets(block, width)
             block, size = [], 0
-    yield from _block_sets(block, width, powers)
+    yield from _block_sets(block, width)
 
 
-def _block_sets(block: list[bytes], width: int, powers: _Powers) -> Iterator[np.ndarray]:
-    if not block:
-        return
-    words, starts = _word_hashes(b"\n".join(block), powers)
-    edges = np.concatenate([[0], np.cumsum([len(x) + 1 for x in block])])
-    first = np.searchsorted(starts, edges)
+def _block_sets(block: list[list[bytes]], width: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    words = list(chain.from_iterable(block))
+    table = {w: xxhash.xxh3_64_intdigest(w) for w in set(words)}
+    hashed = np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
     grams = np.full(max(0, len(words) - width + 1), width, np.uint64)
     for k in range(width):
-        grams = _mix(grams * _K[2] + words[k : k + len(grams)])
-    for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if j - i >= width:
-            yield np.unique(grams[i : j - width + 1])
+        grams = _mix(grams * _K[2] + hashed[k : k + len(grams)])
+    at = 0
+    for own in block:
+        n = len(own)
+        if n >= width:
+            yield own, *np.unique(grams[at : at + n - width + 1], return_index=True)
         else:
-            h = np.full(min(1, j - i), j - i, np.uint64)
-            for k in range(i, j):
-                h = _mix(h * _K[2] + words[k : k + 1])
-            yield h
+            h = np.full(min(1, n), n, np.uint64)
+            for k in range(n):
+                h = _mix(h * _K[2] + hashed[at + k : at + k + 1])
+            yield own, h, np.zeros(len(h), np.int64)
+        at += n
 
 
 def shingles(text: str | None, width: int = 3) -> np.ndarray:
-    return next(shingle_sets([text], width))
+    return next(shingle_sets([text], width))[1]
+
+
+def class_digest(words: list[bytes], first: np.ndarray, width: int) -> bytes:
+    """Digest of a set by the words of its shingles, in the order of their hashes: equal hashes of different words make no class."""
+    h, places = hashlib.blake2b(digest_size=16), first.tolist()
+    for k in range(min(width, len(words))):
+        h.update(b" ".join([words[i + k] for i in places]) + b"\n")
+    return h.digest()
+
+
+def word_shingles(text: str | None, width: int) -> frozenset[tuple[bytes, ...]]:
+    """The set itself, of words."""
+    words = words_of(text)
+    if len(words) < width:
+        return frozenset([tuple(words)] if words else [])
+    return frozenset(zip(*(words[k:] for k in range(width)), strict=False))
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -148,19 +135,21 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
         task = TaskContext.get().partitionId()
         for b in batches:
             rows = []
-            for doc, s in zip(b["doc_id"].array, shingle_sets(b["text"].array, width), strict=True):
+            for doc, (words, s, first) in zip(b["doc_id"].array, shingle_sets(b["text"].array, width), strict=True):
                 np.add.at(counts, (s & np.uint64(COUNTERS - 1)).astype(np.int64), np.int32(1))
                 parts = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PARTS)
-                rows.append((doc, xxhash.xxh3_128_digest(s.tobytes()), len(s), parts.tolist(), None, task, None))
-            out = pd.DataFrame(rows, columns=["doc_id", "digest", "n", "parts", "block", "task", "counts"])
+                rows.append((doc, class_digest(words, first, width), len(s), parts.tolist(), None, task, None, None))
+            out = pd.DataFrame(rows, columns=["doc_id", "digest", "n", "parts", "block", "task", "places", "counts"])
             yield out.astype({"block": "Int32"})
         held = counts.reshape(-1, BLOCK)
         for k in range(len(held)):
-            if held[k].any():
-                yield pd.DataFrame({"doc_id": [None], "digest": [None], "n": [0], "parts": [None], "block": [k], "task": [task], "counts": [held[k].tobytes()]})
+            at = np.flatnonzero(held[k])
+            if len(at):  # the counters that are not zero, so that what a task sends is bounded by its shingles
+                yield pd.DataFrame({"doc_id": [None], "digest": [None], "n": [0], "parts": [None], "block": [k], "task": [task], "places": [at.astype("<u2").tobytes()], "counts": [held[k][at].astype("<i4").tobytes()]})
+        release_memory()
 
     # ids go as text: pandas would turn longs with nulls into doubles
-    out = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, "doc_id string, digest binary, n long, parts array<int>, block int, task int, counts binary")
+    out = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, "doc_id string, digest binary, n long, parts array<int>, block int, task int, places binary, counts binary")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -169,16 +158,17 @@ def _merged_counts(sets: DataFrame) -> np.ndarray:
 
     def add(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(BLOCK, np.int64)
-        for c in b["counts"]:
-            total += np.frombuffer(c, "<i4")
-        return pd.DataFrame({"block": [key[0]], "counts": [np.minimum(total, 2**31 - 1).astype("<i4").tobytes()]})
+        for at, c in zip(b["places"], b["counts"], strict=True):
+            total[np.frombuffer(at, "<u2")] += np.frombuffer(c, "<i4")
+        at = np.flatnonzero(total)
+        return pd.DataFrame({"block": [key[0]], "places": [at.astype("<u2").tobytes()], "counts": [np.minimum(total[at], 2**31 - 1).astype("<i4").tobytes()]})
 
-    held = sets.where("block is not null")
+    held, schema = sets.where("block is not null"), "block int, places binary, counts binary"
     fan = max(1, int(held.agg(F.coalesce(F.max("task"), F.lit(0))).first()[0] ** 0.5))
-    once = held.select("block", F.pmod("task", F.lit(fan)).alias("salt"), "counts").groupBy("block", "salt").applyInPandas(add, "block int, counts binary")
+    once = held.select("block", F.pmod("task", F.lit(fan)).alias("salt"), "places", "counts").groupBy("block", "salt").applyInPandas(add, schema)
     out = np.zeros((COUNTERS // BLOCK, BLOCK), np.int32)
-    for r in once.groupBy("block").applyInPandas(add, "block int, counts binary").toLocalIterator():
-        out[r["block"]] = np.frombuffer(r["counts"], "<i4")
+    for r in once.groupBy("block").applyInPandas(add, schema).toLocalIterator():
+        out[r["block"], np.frombuffer(r["places"], "<u2")] = np.frombuffer(r["counts"], "<i4")
     return out.reshape(-1)
 
 
@@ -189,11 +179,12 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int) ->
         order = held.value
         for b in batches:
             rows = []
-            for doc, s in zip(b["doc_id"].array, shingle_sets(b["text"].array, width), strict=True):
+            for doc, (_, s, _) in zip(b["doc_id"].array, shingle_sets(b["text"].array, width), strict=True):
                 if len(s):
                     rare = np.argsort(order[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")
                     rows.append((doc, len(s), s[rare[: prefix_size(len(s), percent)]].view(np.int64)))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "prefix"])
+        release_memory()
 
     return docs.mapInPandas(run, "doc_id long, n long, prefix array<long>")
 
@@ -222,22 +213,23 @@ def _verified(pairs: DataFrame, parts: DataFrame, docs: DataFrame, width: int, p
     both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, np.ndarray] = {}
+        known: dict[str, frozenset[tuple[bytes, ...]]] = {}
 
-        def of(text: str) -> np.ndarray:
+        def of(text: str) -> frozenset[tuple[bytes, ...]]:
             if text not in known:
-                if len(known) >= 16:
+                if len(known) >= 4:
                     known.pop(next(iter(known)))
-                known[text] = next(shingle_sets([text], width))
+                known[text] = word_shingles(text, width)
             return known[text]
 
         for b in batches:
             keep = []
             for x, y in zip(b["text_a"], b["text_b"], strict=True):
                 p, q = of(x), of(y)
-                c = len(np.intersect1d(p, q, assume_unique=True))
+                c = len(p & q)
                 keep.append(100 * c >= percent * (len(p) + len(q) - c) and c > 0)
             yield b.loc[keep, ["a", "b"]]
+        release_memory()
 
     return both.select("a", "b", "text_a", "text_b").mapInPandas(verify, "a long, b long")
 
@@ -297,11 +289,14 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
 
     Rows without id, and texts without words, stay. Of rows that share an id one stays.
     """
+    before = tables_made()
     found = write_table(jaccard_components(docs, width, percent, id_col, text_col).where("doc_id is not null").select("doc_id", "component_id"), "components")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    out = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
     several = write_table(found.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_several")), "several")
-    if several.isEmpty():
-        return out
-    same = F.col(id_col).cast("long") == F.col("_several")
-    return out.join(several, same, "left_anti").unionByName(out.join(several, same, "left_semi").dropDuplicates([id_col]))
+    drop_since(before, found, several)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_id"))  # one column, so that no name of the input can clash
+    out = rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti")
+    if not several.isEmpty():
+        same = F.col("_id") == F.col("_several")
+        out = out.join(several, same, "left_anti").unionByName(out.join(several, same, "left_semi").dropDuplicates(["_id"]))
+    return out.select("_row.*")

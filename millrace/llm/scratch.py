@@ -8,6 +8,8 @@ local session without that setting gets a temporary folder of its own.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -30,14 +32,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 ROWS_PER_FILE = 200_000
 #: Whole texts go to Python in batches; of the default number of rows, a batch of long ones would be hundreds of megabytes.
-ROWS_PER_BATCH = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS_PER_BATCH, BYTES_PER_BATCH = 1000, 4 << 20
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of a session that has the default bound."""
-    if int(spark.conf.get(_BATCH, "10000")) == 10000:
-        spark.conf.set(_BATCH, str(ROWS_PER_BATCH))
+    """Bound the Arrow batches of a session that has the default bounds. It stays so: frames are handed out that run later."""
+    if int(spark.conf.get(_ROWS, "10000")) == 10000:
+        spark.conf.set(_ROWS, str(ROWS_PER_BATCH))
+    if spark.conf.get(_BYTES) == f"{64 << 20}b":
+        spark.conf.set(_BYTES, str(BYTES_PER_BATCH))
+
+
+def release_memory() -> None:
+    """At the end of a task's Python function: give freed memory back, as workers are kept for later tasks."""
+    gc.collect()
+    try:
+        import pyarrow
+
+        pyarrow.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
 
 
 def write_table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -64,6 +80,19 @@ def drop_table(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def tables_made() -> int:
+    """A mark for ``drop_since``."""
+    return len(_made)
+
+
+def drop_since(mark: int, *keep: DataFrame) -> None:
+    """Delete the tables written since ``mark``, but for ``keep``: what was made from them is stored by now."""
+    kept = {getattr(df, "_millrace_path", None) for df in keep}
+    for spark, path in [x for x in _made[mark:] if x[1] not in kept]:
+        _delete(spark, path)
+        _made.remove((spark, path))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

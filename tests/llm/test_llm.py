@@ -228,6 +228,47 @@ def test_extracts_the_article(spark, data):
         assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want)
 
 
+ARTICLE = "<article><h1>T</h1><p>One long text of an article that is here to stay and be read.</p><p>Two</p></article>"
+HOSTILE_PAGES = [
+    f'<html class="no-js cookie-consent"><body class="ads-enabled">{ARTICLE}</body>',
+    f'<div class="social-page">{ARTICLE}</div>',
+    f"<body><nav>a b c</nav>{ARTICLE}<footer>x</footer>",
+    ARTICLE.replace("<p>Two", '<p class="advert">Buy</p><p hidden>h</p><ol class="commentlist"><li>c1<li>c2</ol><p>Two'),
+    ARTICLE.replace("<h1>", "<header>Byline | Share | Print</header><h1>"),
+    ARTICLE.replace("<h1>T</h1>", "<header><h1>T</h1><p>By me</p></header>"),
+    ARTICLE + "<article><h2><a href=x>Teaser</a></h2></article>",
+    f"<main>{ARTICLE}<div>More stuff</div></main>",
+    f'<div class="comments"><article>reader says no</article></div>{ARTICLE}',
+    f'<ul><li class="ad">x<li>y</ul>{ARTICLE}',
+]
+
+
+@pytest.mark.parametrize("page", HOSTILE_PAGES)
+def test_no_article_is_lost_and_no_furniture_kept(page):
+    assert html.main_text(html.page_lines(page), set()) == "T\nOne long text of an article that is here to stay and be read.\nTwo"
+
+
+def test_elements_that_never_end():
+    text = lambda page: html.main_text(html.page_lines(page), set())
+    assert text("One<p>Two<aside>ad<p>Three") == "One\nTwo\nThree"
+    assert text("a < b <c") == "a < b <c" and text("x<b '>'y") == "x'y" and text("p<!-- q") == "p" and text("a<script>b") == "a"
+
+
+def test_a_small_article_does_not_settle_a_page():
+    page = "<body><div><p>A long text in plain blocks, which is what the page is about.</p></div><article><a href=x>See also</a></article>"
+    lines = html.page_lines(page)
+    assert not html.settled(lines) and html.main_text(lines, set()) == "A long text in plain blocks, which is what the page is about."
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<b '>'", "<b ='>'", "<!-- ", "<script ", "</", '<a href="', "<p class='ad'>", "<div>", "<ul><li>", "<![CDATA[", "</div>", "<main><article>x"])
+def test_pages_take_linear_time(piece):
+    import time
+
+    began = time.perf_counter()
+    html.page_lines(piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - began < 30
+
+
 def test_differencing_without_markup_hints(spark):
     page = lambda i: f"<body><div>Site name</div><div>Home of news</div><div>Story {i} is told here at some length.</div><p>It ends &amp; {i}</p><div>All rights reserved</div>"
     rows = [(i, f"http://h.org/a/{i}", page(i)) for i in range(30)] + [(90, None, None), (91, "http://h.org/a/0", ""), (92, "http://alone.org/", page(7)), (92, "http://alone.org/", page(7)), (None, "u", "<p>x"), (BIG, "v", "<p>y")]
@@ -560,10 +601,40 @@ def test_jaccard_odd_rows_and_one_of_each(spark, odd):
 def test_shingle_hashes_do_not_depend_on_the_block():
     texts = [LONG, None, "a b c d", "", "x", "é à"]
     alone = [jaccard.shingles(t) for t in texts]
-    for got, want in zip(jaccard.shingle_sets(texts), alone, strict=True):
+    for (_, got, _), want in zip(jaccard.shingle_sets(texts), alone, strict=True):
         assert np.array_equal(got, want)
 
 
+def thue_morse(a, b, rounds):
+    x, y = a, b
+    for _ in range(rounds):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_words_that_collide_in_polynomials_of_two_to_the_64_are_not_linked(spark):
+    x, y = thue_morse("a", "b", 11)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(frame(spark, [x, y, x.upper(), f"{x} {y}", f"{y} {x}"])).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4}
+
+
+@pytest.mark.parametrize("collide", [lambda w: 7, lambda w: w[0] % 3])
+def test_no_link_and_no_class_rests_on_a_hash(monkeypatch, collide):
+    monkeypatch.setattr(jaccard.xxhash, "xxh3_64_intdigest", collide)
+    texts = ["a b c d", "d c b a", "a b c d", "e f"]
+    digests = [jaccard.class_digest(w, at, 3) for w, _, at in jaccard.shingle_sets(texts)]
+    assert digests[0] == digests[2] and len(set(digests)) == 3
+    assert jaccard.word_shingles(texts[0], 3).isdisjoint(jaccard.word_shingles(texts[1], 3))
+
+
+def test_one_of_each_with_clashing_names(spark):
+    docs = frame(spark, ["x y z", "x y z", "other words here"])
+    for c in ("_gone", "_several", "_row", "_id", "component_id"):
+        docs = docs.withColumn(c, F.lit(5))
+    rows = jaccard.one_of_each(docs)
+    assert rows.columns == docs.columns and sorted((r.doc_id, r._gone) for r in rows.collect()) == [(0, 5), (2, 5)]
+
+
 # empty tables and the pipeline
 
 
