@@ -343,6 +343,28 @@ def test_pii_bootstraps_spaced_layouts(spark):
     assert pii.redact(docs).where(F.col("doc_id") == len(seeds) + 1).first().text == "phone: <phone>."
 
 
+def test_pii_finds_hidden_seeds_again_and_what_runs_together(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    recall = {r.kind: (r.hidden, r.found) for r in pii.held_out_recall(docs).collect()}
+    assert set(recall) == set(pii.NAMES) and sum(f for _, f in recall.values()) >= 0.9 * sum(h for h, _ in recall.values()), recall
+    rows = {r.doc_id: r for r in pii.pii_report(docs).where("n_added > 0").collect()}
+    texts = {r.doc_id: r.text for r in docs.where(F.col("doc_id").isin(*rows)).collect()}
+    added = {doc: [x.split(":") for x in r.spans.split(",") if x not in base_spans(texts[doc]).split(",")] for doc, r in rows.items()}
+    for doc, spans in added.items():
+        for kind, start, end in spans:
+            hit = texts[doc][int(start) : int(end)]
+            assert {"secret": r"(?i)[0-9a-f]{40}", "phone": r"\+1 \(\d{3}\) 555-\d{4}", "card": r"\d{16}"}[kind] and re.fullmatch({"secret": r"(?i)[0-9a-f]{40}", "phone": r"\+1 \(\d{3}\) 555-\d{4}", "card": r"\d{16}"}[kind], hit), (kind, hit)
+    secrets = {r.doc_id for r in docs.collect() if re.search(r'(?i)token = "[0-9a-f]{40}"', r.text or "")}
+    assert secrets == {doc for doc, spans in added.items() if any(k == "secret" for k, _, _ in spans)}
+
+
+def test_pii_patterns_on_the_right_and_columns_with_clashing_names(spark):
+    texts = [f"x{chr(97 + i % 26)}q 10.0.{i}.7 gateway of hall {i}" for i in range(30)] + ["yy 10.0.5 gateway of hall 3", "yy 10.0.6 window"]
+    docs = frame(spark, texts).withColumn("_spans", F.lit(1)).withColumn("_key", F.lit(2)).withColumn("_row", F.lit(3)).withColumn("_text", F.lit(4))
+    clean = {r.doc_id: r for r in pii.redact(docs).collect()}
+    assert clean[30].text == "yy <ip> gateway of hall 3" and clean[31].text == texts[31] and (clean[3]._spans, clean[3]._text) == (1, 4)
+
+
 def test_redaction_merges_overlaps_and_keeps_columns(spark, odd):
     assert pii.redact(odd).columns == odd.columns and pii.redact(odd).count() == odd.count()
     assert pii.redact(frame(spark, ["é 1.2.3.4@mail.org +1 (372) 555-7739 end"])).first().text == "é <email> <phone> end"
