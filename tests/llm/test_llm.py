@@ -558,9 +558,21 @@ def test_chat_round_trip(spark):
     assert [s.loss for s in segments] == [False] * 6 + [False, True, False] + [False] * 3 + [False, True, False]
 
 
+def test_roles_and_texts_cannot_form_markers_of_any_template(spark):
+    names = ["<|im_start|>x", "user", "a<", "<|im_end|>\n", "%0A\n%", "[x]", "]", "[[", "<\\|", "<\\", "\\"]
+    rows = [(c, t, r, names[(c + t) % len(names)] + "\n" * (t % 2)) for c in range(11) for t, r in enumerate(names)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for template in (chat.CHATML, chat.Template(start="[x", role_end="::", end="]\n"), chat.Template(start="[[x]]", role_end=" ", end="[[/x]]", escape="|")):
+        for r in chat.read_back(chat.format_chats(df, template), template).collect():
+            assert [(t.role, t.text) for t in r.turns] == [(x[2], x[3]) for x in rows if x[0] == r.conv_id]
+    for bad in ({"start": "["}, {"start": "<\\x"}, {"start": "\nx"}, {"role_end": "%"}):
+        with pytest.raises(ValueError):
+            chat.Template(**bad)
+
+
 def test_chat_query_adds_the_control_conversation(spark, data):
     r = queries()["op9_chat_formatting"](spark, data).where("conv_id = -1").first()
-    assert r.n_turns == 2 and r.loss_chars == len(CONTROL_TEXT) and r.valid
+    assert r.n_turns == 2 and r.loss_chars == len(CONTROL_TEXT) and r.valid and r.complete
 
 
 # 10 jaccard
