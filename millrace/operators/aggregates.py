@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,9 +166,9 @@ def cluster_bootstrap_mean(df: DataFrame, cluster: str, value: str, draws: int,
     return df.agg(F.avg(value).alias("mean")).crossJoin(ci)  # one row each
 
 
-def block_rates(df: DataFrame, index: str, flag: str, size: int) -> DataFrame:
-    """Rate of a flag per block of consecutive rows; the tail beyond whole blocks is dropped."""
-    out = df.groupBy(F.floor(F.col(index) / size).alias("block")).agg(F.sum(F.col(flag).cast("long")).alias("hits"), F.count("*").alias("n"))
+def block_rates(df: DataFrame, by: list[str], index: str, flag: str, size: int) -> DataFrame:
+    """Rate of a flag per block of consecutive rows of a stream; the tail beyond whole blocks is dropped."""
+    out = df.groupBy(*by, F.floor(F.col(index) / size).alias("block")).agg(F.sum(F.col(flag).cast("long")).alias("hits"), F.count("*").alias("n"))
     return out.where(F.col("n") == size)
 
 
@@ -189,19 +190,39 @@ def weighted_quantile(df: DataFrame, by: list[str], value: str, weight: str, q:
     return run.where(F.col("_run") >= q * F.col("_all")).groupBy(*by).agg(F.min(value).alias("quantile"))
 
 
-def joint_limits(df: DataFrame, stats: list[str], rate: float, rounds: int = 30) -> dict[str, float]:
-    """A common quantile for several statistics, found by bisection, so that any of them alarms at the wanted rate."""
-    low, high = 1 - rate, 1.0
-    limits: dict[str, float] = {}
-    for _ in range(rounds):
-        q = (low + high) / 2
-        got = df.agg(*[F.percentile(s, F.lit(q)).alias(s) for s in stats]).first().asDict()
-        alarm = F.lit(False)
-        for s in stats:
-            alarm = alarm | (F.col(s) > got[s])
-        limits = got
-        if df.agg(F.avg(alarm.cast("double"))).first()[0] > rate:
-            low = q
-        else:
-            high = q
-    return limits
+def block_bootstrap_rate(blocks: DataFrame, draws: int, seed: int = 0, level: float = 0.9) -> tuple[float, float, float]:
+    """Rate with a percentile interval from resampling whole blocks (``block_rates``).
+
+    Blocks of one size with equally many hits are alike, so a replicate is a multinomial draw over the counts
+    of hits: the driver gets one number for each count, however many blocks there are.
+    """
+    counts = sorted((r["hits"], r["n"], r["c"]) for r in blocks.groupBy("hits", "n").agg(F.count("*").alias("c")).collect())
+    if not counts:
+        return float("nan"), float("nan"), float("nan")
+    hits, size, c = (np.array(x, dtype=float) for x in zip(*counts, strict=True))
+    drawn = np.random.default_rng(seed).multinomial(int(c.sum()), c / c.sum(), draws)
+    rates = drawn @ hits / (drawn @ size)
+    low, high = np.percentile(rates, [50 * (1 - level), 50 * (1 + level)])
+    return float(c @ hits / (c @ size)), float(low), float(high)
+
+
+def joint_limits(df: DataFrame, stats: list[str], rate: float, points: int = 1000) -> dict[str, float]:
+    """Limits of several statistics at one common quantile, the least at which any of them alarms in at most the wanted share of rows.
+
+    One pass gives each statistic's quantiles on a grid (mergeable sketches), a second the level that each
+    row's worst statistic reaches; the common quantile is read from the counts of levels. A null never alarms.
+    """
+    probabilities = [1 - rate + rate * j / points for j in range(points + 1)]
+    grids = df.agg(*[F.percentile_approx(F.col(s).cast("double"), F.array(*map(F.lit, probabilities)), 100_000).alias(s) for s in stats]).first().asDict()
+    if any(grids[s] is None for s in stats):
+        return {}
+    edges = [np.array(grids[s]) for s in stats]
+
+    @F.pandas_udf("int")
+    def level(*columns: pd.Series) -> pd.Series:
+        return pd.Series(np.max([np.where(np.isnan(x := c.to_numpy(float)), 0, np.searchsorted(e, x)) for c, e in zip(columns, edges, strict=True)], axis=0))
+
+    counted = {r["level"]: r["n"] for r in df.select(level(*[F.col(s).cast("double") for s in stats]).alias("level")).groupBy("level").agg(F.count("*").alias("n")).collect()}
+    beyond = sum(counted.values()) - np.cumsum([counted.get(j, 0) for j in range(points + 1)])  # rows above the grid's j-th point
+    at = int(np.argmax(beyond <= rate * sum(counted.values())))
+    return {s: float(e[at]) for s, e in zip(stats, edges, strict=True)}

@@ -6,9 +6,11 @@ mean, k components, their variances) and travels as literals.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,18 +26,28 @@ class Components:
 
 
 def vector_moments(df: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """Mean and covariance of an array column from one pass of mergeable sums: p (p + 1) / 2 rows reach the driver."""
-    long = df.select(F.col(column).alias("v")).where("v is not null")
-    p = long.select(F.size("v")).first()[0]
-    n = long.count()
-    one = long.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    mean = np.array([r["m"] for r in one.orderBy("i").collect()])
-    centred = F.zip_with("v", vector(mean), lambda x, m: x.cast("double") - m)
-    pairs = long.select(centred.alias("c")).select("c", F.posexplode("c").alias("i", "a")).select("i", "a", F.posexplode("c").alias("j", "b")).where("j >= i")
-    cov = np.zeros((p, p))
-    for r in pairs.groupBy("i", "j").agg((F.sum(F.col("a") * F.col("b")) / (n - 1)).alias("c")).collect():
-        cov[r["i"], r["j"]] = cov[r["j"], r["i"]] = r["c"]
-    return mean, cov, n
+    """Mean, sample covariance and n of an array column in one pass: a task gives one count, sum and outer product, whatever its rows.
+
+    Null vectors are left out. Sums are taken about the first row of the data, so that a large common offset loses no digits.
+    """
+    long = df.select(F.transform(F.col(column), lambda x: x.cast("double")).alias("v")).where("v is not null")
+    first = long.first()
+    if first is None:
+        return np.zeros(0), np.zeros((0, 0)), 0
+    about = np.array(first["v"], dtype=float)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, total, outer = 0, np.zeros(len(about)), np.zeros((len(about), len(about)))
+        for b in batches:
+            x = np.stack(b["v"].to_numpy()) - about if len(b) else np.zeros((0, len(about)))
+            n, total, outer = n + len(x), total + x.sum(axis=0), outer + x.T @ x
+        yield pd.DataFrame({"n": [n], "total": [total], "outer": [outer.ravel()]})
+
+    n, total, outer = 0, np.zeros(len(about)), np.zeros((len(about), len(about)))
+    for r in long.mapInPandas(sums, "n long, total array<double>, outer array<double>").toLocalIterator():  # one row a task
+        n, total, outer = n + r["n"], total + np.array(r["total"]), outer + np.array(r["outer"]).reshape(outer.shape)
+    cov = (outer - np.outer(total, total) / n) / max(1, n - 1)
+    return about + total / n, cov, n
 
 
 def fit_components(mean: np.ndarray, cov: np.ndarray, k: int) -> Components:
@@ -80,6 +92,14 @@ def t_squared_of(df: DataFrame, cols: list[str], baseline: DataFrame) -> DataFra
     return df.withColumn("t2", quadratic_form(xs, inverse))
 
 
+def charts(df: DataFrame, cols: list[str], mean: np.ndarray, cov: np.ndarray, k: int) -> DataFrame:
+    """Adds t2 (Mahalanobis distance squared) and spe (squared distance from the plane of the k leading components); a missing value stands at the mean."""
+    model = fit_components(mean, cov, k)
+    xs = [F.coalesce(F.col(c).cast("double"), F.lit(float(m))) - float(m) for c, m in zip(cols, mean, strict=True)]
+    plane = np.eye(len(cols)) - model.axes.T @ model.axes
+    return df.withColumns({"t2": quadratic_form(xs, np.linalg.pinv(cov)), "spe": F.greatest(quadratic_form(xs, plane), F.lit(0.0))})
+
+
 def spe_limit(residual_values: np.ndarray, z: float) -> float:
     """Jackson-Mudholkar limit from the eigenvalues of the left-over space."""
     t1, t2, t3 = (float(np.sum(residual_values**k)) for k in (1, 2, 3))
@@ -93,24 +113,44 @@ def ewma(xs: Column, weight: float) -> Column:
     return F.aggregate(xs, none, lambda a, x: F.concat(a, F.array(weight * x + (1 - weight) * F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)))))
 
 
-def mewma(df: DataFrame, by: list[str], order: list[str], cols: list[str], mean: np.ndarray, cov: np.ndarray, weight: float) -> DataFrame:
-    """Multivariate EWMA statistic with the exact start-up covariance, one stream per group.
+def ewma_summary(xs: Column, weight: float) -> Column:
+    """The last value of ``ewma`` and its largest absolute value: (z, peak), in linear time."""
+    begin = F.struct(F.lit(0.0).alias("z"), F.lit(0.0).alias("peak"))
+
+    def step(a: Column, x: Column) -> Column:
+        z = weight * x + (1 - weight) * a["z"]
+        return F.struct(z.alias("z"), F.greatest(a["peak"], F.abs(z)).alias("peak"))
 
-    The recursion runs over each stream's rows in order, in Python batches; streams are independent.
+    return F.aggregate(xs, begin, step)
+
+
+def ewma_path(x: np.ndarray, weight: float, start: np.ndarray, block: int = 128) -> np.ndarray:
+    """z[t] = w x[t] + (1 - w) z[t - 1] for rows of vectors: a block at a time is a product with the powers of 1 - w."""
+    lag = np.arange(block)[:, None] - np.arange(block)[None, :]
+    powers = np.where(lag >= 0, weight * (1 - weight) ** np.maximum(lag, 0), 0.0)
+    out, z = np.empty_like(x, dtype=float), np.asarray(start, dtype=float)
+    for at in range(0, len(x), block):
+        part = x[at : at + block]
+        n = len(part)
+        out[at : at + n] = powers[:n, :n] @ part + (1 - weight) ** np.arange(1, n + 1)[:, None] * z
+        z = out[at + n - 1]
+    return out
+
+
+def mewma(df: DataFrame, by: list[str], order: list[str], cols: list[str], mean: np.ndarray, cov: np.ndarray, weight: float, keep: list[str] | None = None) -> DataFrame:
+    """Multivariate EWMA statistic with the exact start-up covariance, one stream per group; ``keep``: columns that come along.
+
+    The recursion runs over each stream's rows in order, a block at a time; streams are independent. A missing value stands at the mean.
     """
-    inverse = np.linalg.pinv(cov)
-    schema = df.select(*by, *order).schema.simpleString()[7:-1].replace(":", " ") + ", mewma double"
+    inverse, held = np.linalg.pinv(cov), [*by, *order, *(keep or [])]
+    schema = df.select(*held).schema.simpleString()[7:-1].replace(":", " ") + ", mewma double"
 
     def run(pdf):
         pdf = pdf.sort_values(order, kind="stable")
         x = pdf[cols].to_numpy(float)
-        x = np.where(np.isnan(x), mean, x) - mean
-        z, out = np.zeros(len(cols)), np.empty(len(x))
-        for t in range(len(x)):
-            z = weight * x[t] + (1 - weight) * z
-            scale = weight / (2 - weight) * (1 - (1 - weight) ** (2 * (t + 1)))
-            out[t] = z @ inverse @ z / scale
-        return pdf[[*by, *order]].assign(mewma=out)
+        z = ewma_path(np.where(np.isnan(x), mean, x) - mean, weight, np.zeros(len(cols)))
+        scale = weight / (2 - weight) * (1 - (1 - weight) ** (2.0 * np.arange(1, len(x) + 1)))
+        return pdf[held].assign(mewma=np.einsum("ij,jk,ik->i", z, inverse, z) / scale)
 
     return df.groupBy(*by).applyInPandas(run, schema)
 

@@ -6,11 +6,10 @@ the Gibbs sampler runs on those, so its cost does not depend on the number of ro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,43 +79,54 @@ def fit_pooled(df: DataFrame, xs: list[str], groups: list[str], y: str, iteratio
     return Pooled(xs, levels, np.array(draws), np.array(s2), np.array(t2))
 
 
+def long_run_variance(x: np.ndarray) -> float:
+    """Spectral density at frequency zero, times 2 pi, by Bartlett weights up to the square root of the length (Newey and West, 1987)."""
+    d, n = x - x.mean(), len(x)
+    lags = int(math.isqrt(n))
+    shares = [1 - j / (lags + 1) for j in range(1, lags + 1)]
+    return float(d @ d / n + 2 * sum(w * (d[j:] @ d[:-j]) / n for j, w in enumerate(shares, 1)))
+
+
+def geweke(chain: np.ndarray, head: float = 0.1, tail: float = 0.5) -> float:
+    """Difference of the means of a chain's first and last parts in standard errors that allow for autocorrelation (Geweke, 1992); 0 for a constant chain."""
+    first, last = np.array_split(chain, [max(2, round(head * len(chain)))])[0], chain[-max(2, round(tail * len(chain))) :]
+    error = math.sqrt(max(0.0, long_run_variance(first) / len(first) + long_run_variance(last) / len(last)))
+    return float(first.mean() - last.mean()) / error if error else 0.0
+
+
 def coefficients(model: Pooled) -> list[tuple[str, float, float, float]]:
     """(name, mean, sd, Geweke z) of the intercept and slopes."""
-    out = []
-    for i, name in enumerate(["intercept", *model.columns]):
-        d = model.draws[:, i]
-        a, b = d[: len(d) // 10], d[len(d) // 2 :]
-        z = (a.mean() - b.mean()) / np.sqrt(a.var() / len(a) + b.var() / len(b) + 1e-300)
-        out.append((name, float(d.mean()), float(d.std()), float(z)))
-    return out
+    return [(name, float(model.draws[:, i].mean()), float(model.draws[:, i].std()), geweke(model.draws[:, i])) for i, name in enumerate(["intercept", *model.columns])]
 
 
 def predict_pooled(df: DataFrame, model: Pooled, groups: list[str]) -> DataFrame:
-    """Adds the predictive mean and variance over the draws; a level that was not seen widens the variance by its group's spread."""
-    k, at = 1 + len(model.columns), 1 + len(model.columns)
-    codes = []
-    for g, name in enumerate(groups):
-        key = df.schema[name].dataType.simpleString()
-        places = df.sparkSession.createDataFrame([(x, at + i) for i, x in enumerate(model.levels[name])], f"{name} {key}, _at{g} int")
-        df = df.join(places, name, "left")
-        codes.append(F.coalesce(f"_at{g}", F.lit(-1)))
-        at += len(model.levels[name])
-    draws, sigma2, spread = model.draws, float(model.sigma2.mean()), model.tau2.mean(axis=0)
-
-    def predict(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for cols in batches:
-            x = np.column_stack([np.ones(len(cols[0])), *[c.to_numpy(float) for c in cols[: k - 1]]])
-            means, variances = [], []
-            for start in range(0, len(x), 1000):
-                part = slice(start, start + 1000)
-                value, extra = x[part] @ draws[:, :k].T, np.zeros(len(x[part]))
-                for g, c in enumerate(cols[k - 1 :]):
-                    code = c.to_numpy(int)[part]
-                    value = value + np.where(code >= 0, draws[:, code], 0.0).T
-                    extra += np.where(code < 0, spread[g], 0.0)
-                means.append(value.mean(axis=1))
-                variances.append(value.var(axis=1) + sigma2 + extra)
-            yield pd.DataFrame({"predicted": np.concatenate(means), "variance": np.concatenate(variances)})
-
-    out = F.pandas_udf(predict, "predicted double, variance double")(*[F.col(c).cast("double") for c in model.columns], *codes)
-    return df.withColumn("_p", out).withColumns({"predicted": F.col("_p.predicted"), "variance": F.col("_p.variance")}).drop("_p", *[f"_at{g}" for g in range(len(groups))])
+    """Adds the posterior predictive mean and variance, as column expressions.
+
+    Both are forms in the row's design vector: linear in the posterior mean, quadratic in the posterior covariance.
+    What a level adds (its mean, its variance, its covariance with each fixed effect and with the levels of later
+    groups) comes from small tables by a left join, so an unseen level adds nothing but its group's spread.
+    """
+    mean, cov = model.draws.mean(axis=0), np.cov(model.draws.T, bias=True).reshape(model.draws.shape[1], -1)
+    k, spark = 1 + len(model.columns), df.sparkSession
+    x = [F.lit(1.0), *[F.col(c).cast("double") for c in model.columns]]
+    starts = np.cumsum([k, *[len(model.levels[g]) for g in groups]])
+    predicted = sum((float(mean[i]) * x[i] for i in range(k)), F.lit(0.0))
+    variance = F.lit(float(model.sigma2.mean())) + sum((float(cov[i, j]) * x[i] * x[j] for i in range(k) for j in range(k)), F.lit(0.0))
+    kind = {g: df.schema[g].dataType.simpleString() for g in groups}
+    extra: list[str] = []
+    for a, g in enumerate(groups):
+        own = [int(starts[a]) + i for i in range(len(model.levels[g]))]
+        fields = [f"_l{a}_mean", f"_l{a}_var", *[f"_l{a}_x{i}" for i in range(k)]]
+        rows = [(v, float(mean[p]), float(cov[p, p]), *[2 * float(cov[p, i]) for i in range(k)]) for v, p in zip(model.levels[g], own, strict=True)]
+        df = df.join(spark.createDataFrame(rows, f"`{g}` {kind[g]}, " + ", ".join(f"{f} double" for f in fields)), g, "left")
+        predicted = predicted + F.coalesce(fields[0], F.lit(0.0))
+        with_fixed = sum((F.col(fields[2 + i]) * x[i] for i in range(k)), F.col(fields[1]))
+        variance = variance + F.coalesce(with_fixed, F.lit(float(model.tau2[:, a].mean())))
+        extra += fields
+        for b in range(a + 1, len(groups)):
+            other = groups[b]
+            pairs = [(v, w, 2 * float(cov[p, int(starts[b]) + j])) for v, p in zip(model.levels[g], own, strict=True) for j, w in enumerate(model.levels[other])]
+            df = df.join(spark.createDataFrame(pairs, f"`{g}` {kind[g]}, `{other}` {kind[other]}, _p{a}_{b} double"), [g, other], "left")
+            variance = variance + F.coalesce(f"_p{a}_{b}", F.lit(0.0))
+            extra.append(f"_p{a}_{b}")
+    return df.withColumns({"predicted": predicted, "variance": variance}).drop(*extra)

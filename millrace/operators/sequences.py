@@ -119,6 +119,17 @@ def thinned(values: Column, step: float) -> Column:
     return F.aggregate(F.transform(values, lambda v: v.cast("double")), none, keep)
 
 
+def thinned_summary(values: Column, step: float) -> Column:
+    """How many values ``thinned`` keeps, and the last of them: (n, last), in linear time."""
+    begin = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("last"))
+
+    def keep(acc: Column, v: Column) -> Column:
+        take = acc["last"].isNull() | (acc["last"] - v >= step)
+        return F.struct((acc["n"] + take.cast("int")).alias("n"), F.when(take, v).otherwise(acc["last"]).alias("last"))
+
+    return F.aggregate(F.transform(values, lambda v: v.cast("double")), begin, keep)
+
+
 def savgol_weights(window: int, order: int, deriv: int = 0, dx: float = 1.0, at: int | None = None) -> np.ndarray:
     """Weights of a least-squares polynomial read at row ``at`` of the window (its middle unless given)."""
     at = window // 2 if at is None else at

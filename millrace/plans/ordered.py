@@ -101,11 +101,11 @@ def w14_first_alarm(spark: SparkSession, d: str) -> DataFrame:
     return S.first_after(_ranked(spark, d), BY, "i", F.col("value") > 85, 5)
 
 
-@query(f"WITH RECURSIVE r AS (SELECT user_id, i, value FROM {_RANKED} WHERE user_id < 40), k AS (SELECT user_id, i, value, value AS kept, 1 AS n FROM r WHERE i = 1 UNION ALL SELECT r.user_id, r.i, r.value, CASE WHEN k.kept - r.value >= 10 THEN r.value ELSE k.kept END, k.n + (k.kept - r.value >= 10)::INT FROM k JOIN r ON r.user_id = k.user_id AND r.i = k.i + 1) SELECT user_id, arg_max(n, i)::INT AS n_kept, round(arg_max(kept, i), 6) AS last_kept FROM k GROUP BY 1")
+@query(f"WITH RECURSIVE r AS (SELECT user_id, i, value FROM {_RANKED}), k AS (SELECT user_id, i, value, value AS kept, 1 AS n FROM r WHERE i = 1 UNION ALL SELECT r.user_id, r.i, r.value, CASE WHEN k.kept - r.value >= 10 THEN r.value ELSE k.kept END, k.n + (k.kept - r.value >= 10)::INT FROM k JOIN r ON r.user_id = k.user_id AND r.i = k.i + 1) SELECT user_id, arg_max(n, i)::INT AS n_kept, round(arg_max(kept, i), 6) AS last_kept FROM k GROUP BY 1")
 def w15_checkpoint_thinning(spark: SparkSession, d: str) -> DataFrame:
     path = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda e: e["value"])
-    kept = _events(spark, d).where("user_id < 40").groupBy("user_id").agg(S.thinned(path, 10.0).alias("k"))
-    return kept.select("user_id", F.size("k").alias("n_kept"), F.round(F.element_at("k", -1), 6).alias("last_kept"))
+    kept = _events(spark, d).groupBy("user_id").agg(S.thinned_summary(path, 10.0).alias("k"))
+    return kept.select("user_id", F.col("k.n").alias("n_kept"), F.round("k.last", 6).alias("last_kept"))
 
 
 @query(f'SELECT user_id, ((i - 1) // 6)::BIGINT AS "window", round(avg(((value - 50) / 25) ** 2), 6) AS mean FROM {_RANKED} GROUP BY 1, 2 HAVING count(*) = 6')
@@ -115,11 +115,11 @@ def w17_windowed_nis(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH l AS (SELECT r.*, unnest([5.0, 20.0])::DOUBLE AS length FROM {_RANKED} WHERE user_id < 60), s AS (SELECT event_id, length, sum(exp(-i / length) * (value - 50) / 625) OVER w AS num, sum(exp(-i / length) ** 2 / 625) OVER w AS den FROM l WINDOW w AS (PARTITION BY user_id, length ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+    f"""WITH l AS (SELECT r.*, unnest([5.0, 20.0])::DOUBLE AS length FROM {_RANKED}), s AS (SELECT event_id, length, sum(exp(-i / length) * (value - 50) / 625) OVER w AS num, sum(exp(-i / length) ** 2 / 625) OVER w AS den FROM l WINDOW w AS (PARTITION BY user_id, length ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
     SELECT event_id, length, round(CASE WHEN den > 0 THEN greatest(num, 0.0) ** 2 / (2 * den) ELSE 0.0 END, 6) AS llr FROM s"""
 )
 def w18_glr_running_sums(spark: SparkSession, d: str) -> DataFrame:
-    r = _ranked(spark, d).where("user_id < 60").withColumns({"res": F.col("value") - 50, "var": F.lit(625.0)})
+    r = _ranked(spark, d).withColumns({"res": F.col("value") - 50, "var": F.lit(625.0)})
     return S.glr_sums(r, BY, ORDER, "res", "var", [5.0, 20.0], "i").select("event_id", "length", F.round("llr", 6).alias("llr"))
 
 
@@ -145,21 +145,40 @@ def w22_phase_durations(spark: SparkSession, d: str) -> DataFrame:
 )
 def w13_ewma(spark: SparkSession, d: str) -> DataFrame:
     path = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda e: e["value"] - 50)
-    z = _events(spark, d).groupBy("user_id").agg(M.ewma(path, 0.2).alias("z"))
-    return z.select("user_id", F.round(F.element_at("z", -1), 6).alias("z"), F.round(F.array_max(F.transform("z", lambda x: F.abs(x))), 6).alias("peak"))
+    z = _events(spark, d).groupBy("user_id").agg(M.ewma_summary(path, 0.2).alias("s"))
+    return z.select("user_id", F.round("s.z", 6).alias("z"), F.round("s.peak", 6).alias("peak"))
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d).withColumn("k", F.get_json_object("props", "$.k").cast("double"))
 
 
-@query()
+#: Moments, centred rows and the two-variable MEWMA of every stream, as SQL. DuckDB's recursion carries the vector (zx, zy).
+_MEWMA = """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, value AS x, (props->>'k')::DOUBLE AS y FROM events),
+    m AS (SELECT avg(x) AS mx, avg(y) AS my, covar_samp(x, x) AS a, covar_samp(x, y) AS b, covar_samp(y, y) AS c FROM e),
+    r AS (SELECT event_id, user_id, coalesce(x - mx, 0) AS dx, coalesce(y - my, 0) AS dy, a, b, c, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM e, m),
+    z AS (SELECT user_id, event_id, i, dx, dy, a, b, c, 0.1 * dx AS zx, 0.1 * dy AS zy FROM r WHERE i = 1
+        UNION ALL SELECT r.user_id, r.event_id, r.i, r.dx, r.dy, r.a, r.b, r.c, 0.1 * r.dx + 0.9 * z.zx, 0.1 * r.dy + 0.9 * z.zy FROM z JOIN r ON r.user_id = z.user_id AND r.i = z.i + 1),
+    p AS (SELECT *, atan2(2 * b, a - c) / 2 AS angle FROM z),
+    s AS (SELECT user_id, event_id, (c * zx ** 2 - 2 * b * zx * zy + a * zy ** 2) / (a * c - b * b) / (0.1 / 1.9 * (1 - 0.9 ** (2 * i))) AS mewma,
+        (c * dx ** 2 - 2 * b * dx * dy + a * dy ** 2) / (a * c - b * b) AS t2, (cos(angle) * dy - sin(angle) * dx) ** 2 AS spe FROM p)"""
+
+
+@query(f"{_MEWMA} SELECT event_id, round(mewma, 6) AS mewma FROM s")
 def w13_mewma_stream(spark: SparkSession, d: str) -> DataFrame:
     e = _features(spark, d)
     mean, cov, _ = A.covariance(e, ["value", "k"])
     return M.mewma(e, BY, ORDER, ["value", "k"], mean, cov, 0.1).select("event_id", F.round("mewma", 6).alias("mewma"))
 
 
+@query(f"{_MEWMA} SELECT event_id, round(spe, 6) AS spe FROM s")
+def e25_spe(spark: SparkSession, d: str) -> DataFrame:
+    """Squared prediction error of one component of two."""
+    e = _features(spark, d)
+    mean, cov, _ = A.covariance(e, ["value", "k"])
+    return M.charts(e, ["value", "k"], mean, cov, 1).select("event_id", F.round("spe", 6).alias("spe"))
+
+
 @query(
     """WITH e AS (SELECT event_id, value AS x, (props->>'k')::DOUBLE AS y FROM events), m AS (SELECT avg(x) AS mx, avg(y) AS my, covar_samp(x, x) AS a, covar_samp(x, y) AS b, covar_samp(y, y) AS c FROM e)
     SELECT event_id, round((c * (x - mx) ** 2 - 2 * b * (x - mx) * (y - my) + a * (y - my) ** 2) / (a * c - b * b), 6) AS t2 FROM e, m"""
@@ -169,17 +188,33 @@ def e25_hotelling_t2(spark: SparkSession, d: str) -> DataFrame:
     return M.t_squared_of(e, ["value", "k"], e).select("event_id", F.round("t2", 6).alias("t2"))
 
 
-@query()
+#: The share of rows that may alarm, and the grid of quantiles from which the common one is taken.
+_RATE, _POINTS = 0.02, 1000
+
+
+def _joint_sql(rows: str, stats: list[str], rate: float, points: int) -> str:
+    """CTEs from ``rows`` to lim (one column a statistic): the least common quantile at which at most ``rate`` of the rows alarm."""
+    ranked = ", ".join(f"row_number() OVER (ORDER BY {x}) AS r_{x}" for x in stats)
+    grids = ", ".join(f"max({x}) FILTER (r_{x} = greatest(1, ceil(q * n))) AS {x}" for x in stats)
+    alarm = " OR ".join(f"o.{x} > g.{x}" for x in stats)
+    return f"""kk AS (SELECT *, {ranked}, count(*) OVER () AS n FROM {rows}), q AS (SELECT j, 1 - {rate}::DOUBLE + {rate}::DOUBLE * j / {points} AS q FROM range({points + 1}) t(j)),
+    g AS (SELECT j, {grids} FROM q, kk GROUP BY j, q), o AS (SELECT {", ".join(stats)} FROM {rows}),
+    f AS (SELECT g.j, count(*) FILTER ({alarm}) AS beyond, count(*) AS n FROM g, o GROUP BY g.j), lim AS (SELECT g.* FROM g JOIN (SELECT min(j) AS j FROM f WHERE beyond <= {rate}::DOUBLE * n) USING (j))"""
+
+
+@query(f"{_MEWMA}, {_joint_sql('s', ['t2', 'spe', 'mewma'], _RATE, _POINTS)} SELECT s.user_id, min(s.event_id) AS first_alarm FROM s, lim WHERE s.t2 > lim.t2 OR s.spe > lim.spe OR s.mewma > lim.mewma GROUP BY 1")
 def e25_monitor_first_alarms(spark: SparkSession, d: str) -> DataFrame:
-    """The flagship: baseline moments, T2 and MEWMA per stream, calibrated joint limits, first alarm per stream."""
+    """The flagship: baseline moments, T2, SPE and MEWMA per stream in one grouped pass, jointly calibrated limits, first alarm per stream."""
     e = _features(spark, d).select("user_id", "ts", "event_id", "value", "k")
     mean, cov, _ = A.covariance(e, ["value", "k"])
-    stats = M.t_squared_of(e, ["value", "k"], e).join(M.mewma(e, BY, ORDER, ["value", "k"], mean, cov, 0.1), [*BY, *ORDER])
-    limits = {"t2": M.t2_limit(2, 0.01), "mewma": M.t2_limit(2, 0.01)}
-    return M.first_alarms(M.alarms(stats, limits), BY, "event_id")
+    stats = M.mewma(M.charts(e, ["value", "k"], mean, cov, 1), BY, ORDER, ["value", "k"], mean, cov, 0.1, keep=["t2", "spe"])
+    return M.first_alarms(M.alarms(stats, A.joint_limits(stats, ["t2", "spe", "mewma"], _RATE, _POINTS)), BY, "event_id")
 
 
-@query()
+@query(
+    """WITH e AS (SELECT event_id, value AS x, (props->>'k')::DOUBLE AS y FROM events), m AS (SELECT avg(x) AS mx, avg(y) AS my, stddev_samp(x) AS sx, stddev_samp(y) AS sy FROM e), z AS (SELECT event_id, (x - mx) / sx AS zx, (y - my) / sy AS zy FROM e, m)
+    SELECT event_id, CASE WHEN zx IS NULL AND zy IS NULL THEN NULL WHEN zx IS NULL OR abs(zy) >= abs(zx) THEN 'k' ELSE 'value' END AS cause, round(CASE WHEN zx IS NULL OR abs(zy) >= abs(zx) THEN zy ELSE zx END, 6) AS z FROM z"""
+)
 def e26_alarm_contributions(spark: SparkSession, d: str) -> DataFrame:
     e = _features(spark, d)
     mean, cov, _ = A.covariance(e, ["value", "k"])
@@ -204,10 +239,10 @@ def e7_projection(spark: SparkSession, d: str) -> DataFrame:
     return out.select("vec_id", F.round(M.t_squared(F.col("scores"), model.variances), 6).alias("t2"), F.round("spe", 6).alias("spe"))
 
 
-@query()
+@query(f"WITH o_ AS (SELECT value, (props->>'k')::DOUBLE AS k FROM events), {_joint_sql('o_', ['value', 'k'], 0.05, 400)}" + " SELECT 'value' AS stat, round(value, 6) AS upper FROM lim UNION ALL SELECT 'k', round(k, 6) FROM lim")
 def a14_joint_limits(spark: SparkSession, d: str) -> DataFrame:
     e = _features(spark, d).select("value", "k")
-    limits = A.joint_limits(e, ["value", "k"], 0.05)
+    limits = A.joint_limits(e, ["value", "k"], 0.05, 400)
     return spark.createDataFrame([(k, round(float(v), 6)) for k, v in limits.items()], "stat string, upper double")
 
 
@@ -232,7 +267,14 @@ def e18_conformal_quantile(spark: SparkSession, d: str) -> DataFrame:
     return C.conformal_quantile(e, ["event_type"], "s", 0.1).select("event_type", F.round("q", 6).alias("q"), "n")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE r AS (SELECT event_id, user_id, abs(value - 50) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    c AS (SELECT event_id, user_id, i, s, [s] AS seen, NULL::DOUBLE AS q, 0.1::DOUBLE AS level, true AS covered FROM r WHERE i = 1
+        UNION ALL SELECT event_id, user_id, i, s, list_append(seen, s), q, level, s <= q FROM (
+            SELECT r.event_id, r.user_id, r.i, r.s, n.seen, n.level, list_sort(n.seen)[greatest(1, least(n.rank, len(n.seen)))::INT] * CASE WHEN n.rank > len(n.seen) THEN {C.WIDEN}::DOUBLE ELSE 1.0::DOUBLE END AS q
+            FROM (SELECT *, ceil((len(seen) + 1) * (1 - level)) AS rank FROM (SELECT user_id, i, list_slice(seen, -500, -1) AS seen, least(greatest(level + 0.02::DOUBLE * (0.1::DOUBLE - (NOT covered)::INT), 0.001), 0.999)::DOUBLE AS level FROM c)) n JOIN r ON r.user_id = n.user_id AND r.i = n.i + 1))
+    SELECT event_id, round(q, 6) AS q, round(level, 6) AS alpha_t, covered FROM c"""
+)
 def e19_adaptive_conformal(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d).withColumn("s", F.abs(F.col("value") - 50))
     return C.adaptive_conformal(e, BY, ORDER, "s", 0.1, 0.02).select("event_id", F.round("q", 6).alias("q"), F.round("alpha_t", 6).alias("alpha_t"), "covered")

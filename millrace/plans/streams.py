@@ -62,7 +62,7 @@ def m1_mean_reverting_process(spark: SparkSession, d: str) -> DataFrame:
     return U.mean_reverting(spark, 16, 500, 50.0, 0.05, 2.0, 11, 0.0, 100.0)
 
 
-@query("SELECT o_orderkey AS cycle, round(o_orderkey * 100.0 + k / r, 6) AS t, s AS signal, CASE WHEN s = 'price' THEN o_totalprice ELSE o_custkey::DOUBLE END AS value FROM orders, (VALUES ('price', 2.0::DOUBLE, 20), ('cust', 0.5::DOUBLE, 5)) x(s, r, top), range(21) t(k) WHERE k <= top AND o_orderkey < 400")
+@query("SELECT o_orderkey AS cycle, round(o_orderkey * 100.0 + k / r, 6) AS t, s AS signal, CASE WHEN s = 'price' THEN o_totalprice ELSE o_custkey::DOUBLE END AS value FROM orders, (VALUES ('price', 2.0::DOUBLE, 20), ('cust', 0.5::DOUBLE, 5)) x(s, r, top), range(21) t(k) WHERE k <= top")
 def m10_recording(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").where("o_orderkey < 400").select(F.col("o_orderkey").alias("cycle"), (F.col("o_orderkey") * 100.0).alias("t0"), F.lit(10.0).alias("len"), F.col("o_totalprice").alias("price"), F.col("o_custkey").alias("cust"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("cycle"), (F.col("o_orderkey") * 100.0).alias("t0"), F.lit(10.0).alias("len"), F.col("o_totalprice").alias("price"), F.col("o_custkey").alias("cust"))
     return U.recording(o, "t0", "len", {"price": 2.0, "cust": 0.5}).withColumn("t", F.round("t", 6))

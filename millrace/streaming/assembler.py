@@ -36,30 +36,32 @@ def assemble(samples: DataFrame, collecting: str, held_signal: str, least: int =
 
 
 class _Assembler(StatefulProcessor):
-    """State per press: phase, epoch, count, sum, least value, held value."""
+    """State per press: phase, epoch, count, count of known values, their sum, least value, held value."""
 
     def __init__(self, collecting: str, held_signal: str, least: int):
         self.collecting, self.held_signal, self.least = collecting, held_signal, least
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("open", "phase string, epoch long, n long, total double, low double, held double")
+        self.state = handle.getValueState("open", "phase string, epoch long, n long, known long, total double, low double, held double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        phase, epoch, n, total, low, held = self.state.get() if self.state.exists() else (None, 0, 0, 0.0, None, None)
+        phase, epoch, n, known, total, low, held = self.state.get() if self.state.exists() else (None, 0, 0, 0, 0.0, None, None)
         out = []
         batch = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
         for signal, value, event in zip(batch["signal"], batch["value"], batch["phase"], strict=True):
             if isinstance(event, str):
                 if event != phase:
                     if phase == self.collecting and n >= self.least:
-                        out.append((key[0], epoch, n, total / n, low, held))
-                    phase, epoch, n, total, low = event, epoch + 1, 0, 0.0, None
+                        out.append((key[0], epoch, n, total / known if known else None, low, held))
+                    phase, epoch, n, known, total, low = event, epoch + 1, 0, 0, 0.0, None
                 continue
             if signal == self.held_signal and not pd.isna(value):
                 held = float(value)
             if phase == self.collecting:
-                n, total, low = n + 1, total + float(value), float(value) if low is None else min(low, float(value))
-        self.state.update((phase, epoch, n, total, low, held))
+                n += 1  # a sample without a value counts as a sample, as in the batch form
+                if not pd.isna(value):
+                    known, total, low = known + 1, total + float(value), float(value) if low is None else min(low, float(value))
+        self.state.update((phase, epoch, n, known, total, low, held))
         yield pd.DataFrame(out, columns=["press", "cycle", "n", "mean", "low", "held"])
 
     def close(self) -> None:

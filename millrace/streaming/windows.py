@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from millrace.operators.monitor import ewma_path
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -41,11 +43,10 @@ def mewma_stream(events: DataFrame, key: str, key_type: str, order: list[str], c
         z, t = (np.array(state.get[0]), state.get[1]) if state.exists else (np.zeros(k), 0)
         pdf = pd.concat(list(batches)).sort_values(order, kind="stable")
         x = pdf[cols].to_numpy(float)
-        x, out = np.where(np.isnan(x), mean, x) - mean, np.empty(len(pdf))
-        for i in range(len(x)):
-            z, t = weight * x[i] + (1 - weight) * z, t + 1
-            out[i] = z @ inverse @ z / (weight / (2 - weight) * (1 - (1 - weight) ** (2 * t)))
-        state.update((z.tolist(), t))
+        path = ewma_path(np.where(np.isnan(x), mean, x) - mean, weight, z)
+        scale = weight / (2 - weight) * (1 - (1 - weight) ** (2.0 * np.arange(t + 1, t + len(x) + 1)))
+        out = np.einsum("ij,jk,ik->i", path, inverse, path) / scale
+        state.update((path[-1].tolist() if len(path) else z.tolist(), t + len(x)))
         yield pdf[[*order]].assign(**{key: group[0], "mewma": out})[[key, *order, "mewma"]]
 
     types = dict(events.dtypes)
