@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.scratch import write_table
+from millrace.llm.scratch import release_memory, write_table
 
 DIMS = ["source", "lang", "topic"]
 DRIVER_CELLS = 200_000
@@ -55,6 +55,7 @@ def _weigh(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             tokens.append(float(words))
             topics.append("tiny" if words < 40 else "listing" if words < 6 * (breaks + 1) else "numeric" if 25 * digits > len(raw) else "long" if words > 1500 else "prose")
         yield pd.DataFrame({"tokens": tokens, "topic": topics})
+    release_memory()
 
 
 def weighed(text: Column) -> Column:

@@ -23,12 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.scratch import write_table
+from millrace.llm.scratch import release_memory, write_table
 
 PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 RANKS_PER_TASK = 1 << 16
 MAX_MOVES = 2000  # accepted exchanges of the local search; every one raises the squared fill
-CACHED_WORDS, CACHED_BYTES = 250_000, 48
+CACHED_WORDS, CACHED_BYTES = 100_000, 48
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _PUNCTUATION = PUNCTUATION.encode()
 
@@ -149,6 +149,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: i
                     row = (doc, k, at // 4, len(part) // 4, zlib.crc32(part))
                     rows.append((*row, np.frombuffer(part, "<u4").astype("int64").tolist()) if keep_ids else row)
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
+        release_memory()
 
     # ids go as text: pandas would turn longs with nulls into doubles
     out = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut, PIECES + ", ids array<long>" * keep_ids)

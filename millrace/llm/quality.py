@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.scratch import write_table
+from millrace.llm.scratch import release_memory, write_table
 
 SYMBOLS = "#*$%&|<>"
 VECTOR = ["v0", "v1", "v2", "v3", "v4", "v5"]
@@ -92,6 +92,7 @@ def _count(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             kinds = np.bincount(table[np.minimum(codes, 0xFFFF)], minlength=5)
             rows.append((len(words), len(text) - blanks, sum(raw.count(s) for s in SYMBOLS.encode()), len(lines) - len(set(lines)), repeated_words(words), len(lines), kinds[1], kinds[1] + kinds[2], kinds[4], len(text)))
         yield pd.DataFrame(rows, columns=names, dtype="int64")
+    release_memory()
 
 
 def text_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
