@@ -230,12 +230,22 @@ def _in_order(spans: Column) -> Column:
     return F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["kind"] != b["kind"], a["kind"] - b["kind"]).otherwise(a["end"] - b["end"]))
 
 
+def _base_columns() -> list[Column]:
+    of = lambda i: lambda s: s["kind"] == i  # noqa: E731  (a second parameter would be the place in the array)
+    counts = [F.size(F.filter("base", of(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    return [*counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256")]
+
+
+def base_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, counts, base_sha256 and base_spans of the fixed shapes alone."""
+    return scan(docs, id_col, text_col).select("doc_id", *_base_columns(), _listed(F.col("base")).alias("base_spans"))
+
+
 def pii_report(docs: DataFrame) -> DataFrame:
     """The contract's columns, whose counts are of the fixed shapes; n_added: spans of the method; n_found: all spans."""
     found = find_pii(docs)
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     every = F.concat("base", "added")
-    return found.select("doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(_in_order(every)).alias("spans"), F.size("added").cast("long").alias("n_added"), F.size(every).cast("long").alias("n_found"))
+    return found.select("doc_id", *_base_columns(), _listed(_in_order(every)).alias("spans"), F.size("added").cast("long").alias("n_added"), F.size(every).cast("long").alias("n_found"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
