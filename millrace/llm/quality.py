@@ -1,12 +1,23 @@
 """Quality rules: fixed rules first, then robust multivariate outliers per language and source.
 
 Every text is reduced to counts and a vector of six transformed statistics. Each (language, source) group
-gets a minimum-covariance-determinant estimate by concentration steps: distances under the current centre
-and covariance, the group's h-quantile of them, then centre and covariance of the rows below it. Each step
-is two mergeable aggregates over the compact statistics table, so a hot group costs its rows once and
-sends one partial sum per task. Centres and covariances stay a table that is joined; the planner
-broadcasts it when its files are small. Groups with fewer than ``min_rows`` rows are pooled by language,
-and what is still too small is pooled over all.
+gets a minimum-covariance-determinant estimate in the manner of FAST-MCD (Rousseeuw and Van Driessen, 1999):
+
+1. Starts. Random subsets of seven vectors, improved on a sample of ``SAMPLE`` different vectors of the
+   group (chosen by hash), give the ``BEST`` candidates of least determinant; median and quartiles give one more.
+2. Concentration over all rows: distances under a candidate's centre and covariance, the group's h-quantile
+   of them, then centre and covariance of the rows below it. After two steps the candidate of the least
+   determinant goes on until determinants settle.
+3. Reweighting: centre and covariance anew from all rows within the chi-square quantile of 0.975.
+
+A row is rejected where the logarithm of its squared distance lies ``MADS`` robust standard deviations
+(1.4826 times the median absolute deviation, over all rows) above the median, and above the chi-square
+quantile of 0.999: ratios of short texts have heavier tails than a normal vector, and the corpus says how heavy.
+
+A concentration step is two mergeable aggregates over the compact statistics table, so a hot group costs its
+rows once and sends one partial sum per task. Centres and covariances stay a table that is joined; the
+planner broadcasts it when its files are small. Groups with fewer than ``min_rows`` rows are pooled by
+language, and what is still too small is pooled over all.
 
 Defined cases: a null or empty text has no words and fails the base rules. A null language or source is a
 value of its own. Rows of a pool that stays under ``min_rows`` keep the verdict of the base rules. Repeated
@@ -16,6 +27,7 @@ rows are judged each. An empty table gives an empty result. Extra columns are no
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +43,9 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 COUNTED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_marks long, n_chars long"
 #: Pseudo-counts (words, characters, lines) that draw short texts to the corpus mean, so that their ratios don't scatter more.
 PRIOR_WORDS, PRIOR_CHARS, PRIOR_LINES = 60.0, 300.0, 8.0
-LIMIT = 110.0
+#: Different vectors of a group that starts are searched on, random starts, candidates that concentrate over all rows.
+SAMPLE, STARTS, BEST = 600, 50, 2
+MADS = 3.0
 #: Standard deviations below which a statistic is taken as constant.
 FLOOR = (0.03, 0.03, 0.03, 0.08, 0.10, 0.03)
 
@@ -143,37 +157,78 @@ def _distance(k: int) -> Column:
     return sum((F.col(f"p{i}_{j}") * d[i] * d[j] * (1 if i == j else 2) for i in range(k) for j in range(i, k)), F.lit(0.0))
 
 
+PAIRS = [(i, j) for i in range(len(VECTOR)) for j in range(i, len(VECTOR))]
+FIT = "grp string, start int, rows long, logdet double, " + ", ".join([f"c{i} double" for i in range(len(VECTOR))] + [f"p{i}_{j} double" for i, j in PAIRS])
+
+
+def _estimates(out: pd.DataFrame, centre: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
+    """``out`` (grp, start, rows) with centres, inverse covariances and their determinants; no statistic's deviation is taken below its floor."""
+    k = len(VECTOR)
+    cov = cov.copy()
+    cov[:, range(k), range(k)] = np.maximum(cov[:, range(k), range(k)], 0) + np.square(FLOOR)
+    inverse = np.linalg.inv(cov)
+    more = {"logdet": np.linalg.slogdet(cov)[1]} | {f"c{i}": centre[:, i] for i in range(k)} | {f"p{i}_{j}": inverse[:, i, j] for i, j in PAIRS}
+    return out.assign(**more)
+
+
 def _inverted(moments: DataFrame, groups: int) -> DataFrame:
-    """Centres and inverse covariances from one row of moments a group."""
+    """Estimates from one row of moments a group and start."""
     k = len(VECTOR)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    schema = "grp string, rows long, " + ", ".join([f"c{i} double" for i in range(k)] + [f"p{i}_{j} double" for i, j in pairs])
 
     def invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = b[["grp", "rows"]].copy()
             n = b["rows"].to_numpy(float)
             mean = b[[f"s{i}" for i in range(k)]].to_numpy() / n[:, None]
             cov = np.zeros((len(b), k, k))
-            for i, j in pairs:
+            for i, j in PAIRS:
                 cov[:, i, j] = cov[:, j, i] = b[f"s{i}_{j}"] / n - mean[:, i] * mean[:, j]
-            cov[:, range(k), range(k)] = np.maximum(cov[:, range(k), range(k)], 0) + np.square(FLOOR)
-            inverse = np.linalg.inv(cov)
-            for i in range(k):
-                out[f"c{i}"] = mean[:, i] + b[f"o{i}"]
-            for i, j in pairs:
-                out[f"p{i}_{j}"] = inverse[:, i, j]
-            yield out
+            yield _estimates(b[["grp", "start", "rows"]], mean + b[[f"o{i}" for i in range(k)]].to_numpy(), cov)
 
-    return write_table(moments.mapInPandas(invert, schema), "mcd", rows=groups)
+    return write_table(moments.mapInPandas(invert, FIT), "mcd", rows=groups)
 
 
 def _moments(rows: DataFrame) -> DataFrame:
     """Sums and products around the group's present centre (columns c0..)."""
     k = len(VECTOR)
     d = [F.col(VECTOR[i]) - F.col(f"c{i}") for i in range(k)]
-    sums = [F.sum(d[i]).alias(f"s{i}") for i in range(k)] + [F.sum(d[i] * d[j]).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]
-    return rows.groupBy("grp").agg(F.count("*").alias("rows"), *sums, *[F.first(f"c{i}").alias(f"o{i}") for i in range(k)])
+    sums = [F.sum(d[i]).alias(f"s{i}") for i in range(k)] + [F.sum(d[i] * d[j]).alias(f"s{i}_{j}") for i, j in PAIRS]
+    return rows.groupBy("grp", "start").agg(F.count("*").alias("rows"), *sums, *[F.first(f"c{i}").alias(f"o{i}") for i in range(k)])
+
+
+def concentrated(x: np.ndarray, w: np.ndarray, centre: np.ndarray, cov: np.ndarray, h: float) -> tuple[np.ndarray, np.ndarray]:
+    """One concentration step: centre and covariance of the nearest rows that have the part ``h`` of the weight."""
+    d = x - centre
+    order = np.argsort(np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov + np.diag(np.square(FLOOR))), d), kind="stable")
+    near = order[: np.searchsorted(np.cumsum(w[order]), h * w.sum()) + 1]
+    total = w[near].sum()
+    centre = w[near] @ x[near] / total
+    d = x[near] - centre
+    return centre, (d * w[near, None]).T @ d / total
+
+
+def best_starts(x: np.ndarray, w: np.ndarray, h: float, seed: int, starts: int = STARTS, best: int = BEST) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The candidates of least determinant that random subsets lead to."""
+    rng, k = np.random.default_rng(seed), x.shape[1]
+    det = lambda f: np.linalg.slogdet(f[1] + np.diag(np.square(FLOOR)))[1]
+    found = []
+    for _ in range(starts):
+        own = x[rng.choice(len(x), min(len(x), k + 1), replace=False)]
+        fit = own.mean(axis=0), np.cov(own.T, bias=True).reshape(k, k)
+        for _ in range(2):
+            fit = concentrated(x, w, *fit, h)
+        found.append(fit)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for fit in sorted(found, key=det)[: 3 * best]:
+        before = math.inf
+        while det(fit) < before - 1e-6:
+            before, fit = det(fit), concentrated(x, w, *fit, h)
+        out.append(fit)
+    out.sort(key=det)
+    kept = out[:1]
+    for fit in out[1:]:
+        if len(kept) < best and min(abs(det(fit) - det(f)) for f in kept) > 1e-3:
+            kept.append(fit)
+    return kept
 
 
 def chi2_quantile(q: float, k: int) -> float:
@@ -194,23 +249,65 @@ def chi2_quantile(q: float, k: int) -> float:
     return low
 
 
-def mcd(rows: DataFrame, h: float = 0.75, steps: int = 3, min_rows: int = 50) -> DataFrame:
-    """One row per group: grp, rows, centre c*, inverse covariance p*_*, and ``scale``, which makes squared distances chi-square like at h."""
+def _candidates(rows: DataFrame, sizes: DataFrame, h: float, groups: int) -> DataFrame:
+    """First estimates of each group: by quartiles (start 0), and by random subsets of a sample of its different vectors."""
     k = len(VECTOR)
-    start = rows.groupBy("grp").agg(F.count("*").alias("rows"), *[F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(f"q_{v}") for v in VECTOR])
+    quartiles = rows.join(_small(sizes.select("grp")), "grp", "left_semi").groupBy("grp").agg(F.count("*").alias("rows"), *[F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(f"q_{v}") for v in VECTOR])
     spread = [F.greatest((F.col(f"q_{v}")[2] - F.col(f"q_{v}")[0]) / 1.349, F.lit(FLOOR[i])) for i, v in enumerate(VECTOR)]
-    start = start.where(F.col("rows") >= min_rows).select("grp", "rows", *[F.col(f"q_{v}")[1].alias(f"c{i}") for i, v in enumerate(VECTOR)], *[(1 / (spread[i] * spread[i]) if i == j else F.lit(0.0)).alias(f"p{i}_{j}") for i in range(k) for j in range(i, k)])
-    groups = rows.select("grp").distinct().count()
-    fit = write_table(start, "mcd", rows=groups)
-    for step in range(steps + 1):
-        at = rows.join(_small(fit).drop("rows"), "grp").withColumn("d2", _distance(k))
-        cut = write_table(at.groupBy("grp").agg(F.percentile_approx("d2", h, 5000).alias("cut")), "cut", rows=groups)
-        if step == steps:
-            scale = F.lit(chi2_quantile(h, k)) / F.greatest("cut", F.lit(1e-12))
-            return write_table(fit.join(_small(cut).select("grp", scale.alias("scale")), "grp"), "fit", rows=groups)
-        near = at.join(_small(cut), "grp").where(F.col("d2") <= F.col("cut"))
-        fit = _inverted(_moments(near), groups)
-    raise AssertionError
+    inverse = [(1 / (spread[i] * spread[i]) if i == j else F.lit(0.0)).alias(f"p{i}_{j}") for i, j in PAIRS]
+    plain = quartiles.select("grp", F.lit(0).alias("start"), "rows", F.lit(math.inf).alias("logdet"), *[F.col(f"q_{v}")[1].alias(f"c{i}") for i, v in enumerate(VECTOR)], *inverse)
+
+    place = F.pmod(F.xxhash64(F.lit(5), "grp", *VECTOR), F.lit(1 << 30)) / float(1 << 30)
+    some = rows.join(_small(sizes), "grp").where(place < F.lit(float(SAMPLE)) / F.col("different")).groupBy("grp", *VECTOR).agg(F.count("*").alias("w"))
+
+    def search(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(VECTOR)
+        x, w = b[VECTOR].to_numpy(float), b["w"].to_numpy(float)
+        fits = best_starts(x, w, h, zlib.crc32(key[0].encode()))
+        out = pd.DataFrame({"grp": [key[0]] * len(fits), "start": np.arange(1, len(fits) + 1, dtype="int32"), "rows": len(b)})
+        return _estimates(out, np.array([c for c, _ in fits]), np.array([v for _, v in fits]))[[x.split()[0] for x in FIT.split(", ")]]
+
+    return write_table(plain.unionByName(some.groupBy("grp").applyInPandas(search, FIT)), "mcd", rows=groups)
+
+
+def mcd(rows: DataFrame, h: float = 0.75, steps: int = 12, min_rows: int = 50) -> DataFrame:
+    """One row per group of ``min_rows`` rows or more: grp, start (0: quartiles won), rows, logdet, centre c*, inverse covariance p*_*, and ``scale``, which makes squared distances chi-square like at the median."""
+    k, by = len(VECTOR), ["grp", "start"]
+    sizes = rows.groupBy("grp").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64(*VECTOR)).alias("different"))
+    sizes = write_table(sizes.where(F.col("n") >= min_rows), "sizes")
+    groups = sizes.count()
+    fit = _candidates(rows, sizes, h, groups)
+
+    def at(f: DataFrame) -> DataFrame:
+        return rows.join(_small(f.drop("rows")), "grp").withColumn("d2", _distance(k))
+
+    def quantile(f: DataFrame, q: float) -> DataFrame:
+        return write_table(at(f).groupBy(*by).agg(F.percentile_approx("d2", q, 5000).alias("cut")), "cut", rows=groups)
+
+    for step in range(steps):
+        after = _inverted(_moments(at(fit).join(_small(quantile(fit, h)), by).where(F.col("d2") <= F.col("cut"))), groups)
+        if step == 1:  # the candidate of the least determinant goes on
+            won = after.groupBy("grp").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
+            after = write_table(after.join(_small(won), by), "mcd", rows=groups)
+        fell = after.select(*by, "logdet").join(fit.select(*by, F.col("logdet").alias("_before")), by).agg(F.max(F.abs(F.col("_before") - F.col("logdet")))).first()[0]
+        fit = after
+        if step > 1 and (fell or 0.0) < 1e-3:
+            break
+    # reweighting: all rows that are near by the chi-square quantile, distances being scaled at their h-quantile
+    scaled = at(fit).join(_small(quantile(fit, h)), by).where(F.col("d2") * chi2_quantile(h, k) <= F.greatest("cut", F.lit(1e-12)) * chi2_quantile(0.975, k))
+    fit = _inverted(_moments(scaled), groups)
+    scale = F.lit(chi2_quantile(0.5, k)) / F.greatest("cut", F.lit(1e-12))
+    return write_table(fit.join(_small(quantile(fit, 0.5)), by).withColumn("scale", scale).drop("cut"), "fit", rows=groups)
+
+
+def distance_limit(far: DataFrame, mads: float = MADS) -> float:
+    """The squared distance beyond which a row is rejected; ``far``: column distance."""
+    logs = far.where("distance is not null").select(F.log(F.greatest("distance", F.lit(1e-9))).alias("x"))
+    middle = logs.agg(F.percentile_approx("x", 0.5, 10_000)).first()[0]
+    if middle is None:
+        return math.inf
+    deviation = logs.agg(F.percentile_approx(F.abs(F.col("x") - middle), 0.5, 10_000)).first()[0]
+    return max(math.exp(min(700.0, middle + mads * 1.4826 * deviation)), chi2_quantile(0.999, len(VECTOR)))
 
 
 def _small(table: DataFrame, most: int = 20_000) -> DataFrame:
@@ -218,13 +315,15 @@ def _small(table: DataFrame, most: int = 20_000) -> DataFrame:
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
-def _fitted(stats: DataFrame, h: float, steps: int, min_rows: int) -> tuple[list[float], DataFrame, DataFrame, DataFrame]:
-    """Means, groups, rows with their vectors, and the estimates."""
+def _fitted(stats: DataFrame, h: float, min_rows: int, mads: float) -> tuple[list[float], DataFrame, DataFrame, DataFrame, float]:
+    """Means, groups, rows with their vectors, the estimates, and the limit of the squared distance."""
     mean = _means(stats)
     good = stats.where(~base_failed()).withColumns(_vectors(mean))
     groups = _small(_pooled(good, min_rows))
     rows = write_table(_grouped(good, groups).select("doc_id", "grp", *COUNTS, *VECTOR), "vectors")
-    return mean, groups, rows, _small(mcd(rows, h, steps, min_rows).drop("rows"))
+    fit = _small(mcd(rows, h, min_rows=min_rows).drop("rows", "start", "logdet"))
+    limit = distance_limit(rows.join(fit, "grp").select((F.col("scale") * _distance(len(VECTOR))).alias("distance")), mads)
+    return mean, groups, rows, fit, limit
 
 
 def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -236,23 +335,24 @@ def _stats(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_co
     return write_table(text_counts(docs, text_col, lang_col, source_col).select(F.col(id_col).cast("long").alias("doc_id"), "_q.*"), "stats")
 
 
-def judge(docs: DataFrame, h: float = 0.75, steps: int = 3, min_rows: int = 50, limit: float = LIMIT, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """doc_id, the five counts, base_failed, kept, distance (squared, scaled; null where the base rules failed or no estimate exists).
+def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """doc_id, the five counts and base_failed of every row."""
+    return _stats(docs, id_col, text_col, lang_col, source_col).select("doc_id", *COUNTS, base_failed().alias("base_failed"))
+
 
-    ``limit`` bounds the squared distance. It lies far above the chi-square quantiles for six statistics, because
-    ratios of short texts have heavier tails than a normal vector.
-    """
+def judge(docs: DataFrame, h: float = 0.75, min_rows: int = 50, mads: float = MADS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """doc_id, the five counts, base_failed, kept, distance (squared, scaled; null where the base rules failed or no estimate exists)."""
     stats = _stats(docs, id_col, text_col, lang_col, source_col)
-    _, _, rows, fit = _fitted(stats, h, steps, min_rows)
+    _, _, rows, fit, limit = _fitted(stats, h, min_rows, mads)
     far = F.col("scale") * _distance(len(VECTOR))
     passed = rows.join(fit, "grp", "left").select("doc_id", *COUNTS, F.lit(False).alias("base_failed"), F.coalesce(far <= limit, F.lit(True)).alias("kept"), far.alias("distance"))
     failed = stats.where(base_failed()).select("doc_id", *COUNTS, F.lit(True).alias("base_failed"), F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
     return passed.unionByName(failed)
 
 
-def keep_good(docs: DataFrame, h: float = 0.75, steps: int = 3, min_rows: int = 50, limit: float = LIMIT, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def keep_good(docs: DataFrame, h: float = 0.75, min_rows: int = 50, mads: float = MADS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps; same columns. Texts are counted a second time rather than shuffled to their verdicts."""
-    mean, groups, _, fit = _fitted(_stats(docs, id_col, text_col, lang_col, source_col), h, steps, min_rows)
+    mean, groups, _, fit, limit = _fitted(_stats(docs, id_col, text_col, lang_col, source_col), h, min_rows, mads)
     held = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col), F.col(text_col), F.col(lang_col), F.col(source_col))
     rows = text_counts(held, text_col, lang_col, source_col).select("_row", "_q.*").where(~base_failed()).withColumns(_vectors(mean))
     judged = _grouped(rows, groups).join(fit, "grp", "left")
