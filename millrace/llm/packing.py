@@ -26,8 +26,7 @@ from pyspark.sql import functions as F
 from millrace.llm.scratch import release_memory, write_table
 
 PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
-RANKS_PER_TASK = 1 << 16
-MAX_MOVES = 2000  # accepted exchanges of the local search; every one raises the squared fill
+SALTS = 32  # every length is ranked in so many parts
 CACHED_WORDS, CACHED_BYTES = 100_000, 48
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _PUNCTUATION = PUNCTUATION.encode()
@@ -213,67 +212,107 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> _Groups:
     return groups
 
 
-def _best_exchange(donor: tuple[int, Pattern], target: tuple[int, Pattern]) -> tuple[int, dict[int, int]] | None:
-    """The move, one-for-one or two-for-one exchange that fills ``target`` most: (gain, what the target gets, negative for what it gives)."""
-    room, best = target[0], None
-    mine, theirs = donor[1], target[1]
-    gives = [((a,), a) for a, _ in mine] + [((a, b), a + b) for i, (a, n) in enumerate(mine) for b in [x for x, _ in mine[i + 1 :]] + [a] * (n > 1)]
-    for items, total in gives:
-        for back in [0, *(b for b, _ in theirs)]:
-            gain = total - back
-            if len(items) == 2 and not back:
-                continue  # two moves do the same
-            if 0 < gain <= room and (best is None or gain > best[0]):
+class _Targets:
+    """Open bins by what they can take in exchange: for each piece they may give back (0: none), their room and that piece together."""
+
+    def __init__(self, groups: _Groups) -> None:
+        self.groups = groups
+        self.entries: list[tuple[int, int, int, Pattern]] = sorted(e for room, held in groups.by_room.items() for p in held for e in self._of(room, p))
+
+    @staticmethod
+    def _of(room: int, pattern: Pattern) -> list[tuple[int, int, int, Pattern]]:
+        return [(room + back, room, back, pattern) for back in [0, *(x for x, _ in pattern)]] if room else []
+
+    def add(self, room: int, pattern: Pattern, n: int) -> None:
+        if pattern not in self.groups.by_room.get(room, ()):
+            for e in self._of(room, pattern):
+                insort(self.entries, e)
+        self.groups.add(room, pattern, n)
+
+    def take(self, room: int, pattern: Pattern, n: int) -> None:
+        self.groups.take(room, pattern, n)
+        if pattern not in self.groups.by_room.get(room, ()):
+            for e in self._of(room, pattern):
+                del self.entries[bisect_left(self.entries, e)]
+
+    def best_exchange(self, d_room: int, donor: Pattern) -> tuple[dict[int, int], int, Pattern] | None:
+        """The move, one-for-one or two-for-one exchange that leaves a target the least room: (what the target gets, negative for what it gives; its room and pattern)."""
+        gives = [((a,), a) for a, _ in donor] + [((a, b), a + b) for i, (a, n) in enumerate(donor) for b in [x for x, _ in donor[i + 1 :]] + [a] * (n > 1)]
+        left, best = None, None
+        for items, total in gives:
+            for k in range(bisect_left(self.entries, (total,)), len(self.entries)):
+                value, room, back, pattern = self.entries[k]
+                if left is not None and value - total >= left:
+                    break
+                # two moves do the same as two pieces for none; a target must be as full as the donor, and not the donor itself
+                if back >= total or room > d_room or (len(items) == 2 and not back) or ((room, pattern) == (d_room, donor) and self.groups.by_room[room][pattern] < 2):
+                    continue
                 change: Counter[int] = Counter(items)
                 if back:
                     change[back] -= 1
-                best = gain, dict(change)
+                left, best = value - total, (dict(change), room, pattern)
+                break
+        return best
+
+
+def least_bins(histogram: dict[int, int], capacity: int) -> int:
+    """A lower bound (Martello and Toth's L2): for every limit, what is larger than half needs a bin each, and what they can't take of the rest needs more."""
+    sizes = np.array(sorted(histogram), dtype=np.int64)
+    if not len(sizes):
+        return 0
+    counts = np.array([histogram[x] for x in sizes.tolist()], dtype=np.int64)
+    number, total = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(sizes * counts)])
+    half = int(np.searchsorted(sizes, capacity // 2, side="right"))
+    best = 0
+    for low in [0, *sizes[:half].tolist()]:
+        first, top = int(np.searchsorted(sizes, low)), int(np.searchsorted(sizes, capacity - low, side="right"))
+        top = max(top, half)
+        large, small = int(number[-1] - number[half]), int(total[half] - total[first])
+        spare = int((number[top] - number[half]) * capacity - (total[top] - total[half]))
+        best = max(best, large + max(0, -(-(small - spare) // capacity)))
     return best
 
 
-def local_search(groups: _Groups, capacity: int, max_moves: int = MAX_MOVES) -> _Groups:
+def local_search(groups: _Groups, capacity: int, max_moves: int | None = None) -> _Groups:
     """Exchange pieces between underfull bins so that the squared fill rises, until bins empty or nothing helps.
 
-    The donor is the emptiest bin; a target is at least as full, so every accepted exchange raises the sum
-    of squared fills and the search ends. It also ends once the bins are as few as the tokens allow.
+    Donors are taken from the emptiest on, each for as long as it finds an exchange; sweeps go on until one
+    changes nothing. A target is at least as full as its donor, so every exchange raises the sum of squared
+    fills and the search ends. It also ends once the bins are as few as the lower bound.
     """
-    total = sum((capacity - room) * n for room, c in groups.by_room.items() for n in c.values())
-    least = -(-total // capacity)
-    stuck: set[tuple[int, Pattern]] = set()
-    for _ in range(max_moves):
-        if groups.bins() <= least:
-            break
-        open_bins = [(room, p, n) for room in reversed(groups.rooms) if room for p, n in groups.by_room[room].items()]
-        donors = [x for x in open_bins if x[:2] not in stuck]
-        if not donors:
-            break
-        d_room, d_pattern, d_n = donors[0]
-        best = None
-        for room, pattern, n in open_bins:
-            same = (room, pattern) == (d_room, d_pattern)
-            if room > d_room or (same and n < 2):
-                continue
-            found = _best_exchange((d_room, d_pattern), (room, pattern))
-            if found and (best is None or (found[0] == room, found[0]) > (best[0] == best[2], best[0])):
-                best = (*found, room, pattern, n // 2 if same else n)
-            if best and best[0] == best[2]:
-                break  # fills its bin
-        if best is None:
-            stuck.add((d_room, d_pattern))
-            continue
-        gain, change, room, pattern, n = best
-        times = min(n, d_n if (room, pattern) != (d_room, d_pattern) else n)
-        groups.take(d_room, d_pattern, times)
-        groups.take(room, pattern, times)
-        rest = _with(d_pattern, {x: -k for x, k in change.items()})
-        if rest:
-            groups.add(d_room + gain, rest, times)
-        groups.add(room - gain, _with(pattern, change), times)
-        stuck.clear()
+    histogram: Counter[int] = Counter()
+    for held in groups.by_room.values():
+        for pattern, n in held.items():
+            for length, times in pattern:
+                histogram[length] += n * times
+    least, now, moves, changed = least_bins(histogram, capacity), groups.bins(), 0, True
+    targets = _Targets(groups)
+    while changed and now > least:
+        changed = False
+        for d_room, d_pattern in [(room, p) for room in reversed(groups.rooms) if room for p in groups.by_room[room]]:
+            while d_pattern and d_pattern in groups.by_room.get(d_room, ()):
+                if now <= least or (max_moves is not None and moves >= max_moves):
+                    return groups
+                found = targets.best_exchange(d_room, d_pattern)
+                if found is None:
+                    break
+                change, room, pattern = found
+                n = groups.by_room[room][pattern]
+                times = n // 2 if (room, pattern) == (d_room, d_pattern) else min(n, groups.by_room[d_room][d_pattern])
+                gain = sum(x * k for x, k in change.items())
+                targets.take(d_room, d_pattern, times)
+                targets.take(room, pattern, times)
+                targets.add(room - gain, _with(pattern, change), times)
+                d_room, d_pattern = d_room + gain, _with(d_pattern, {x: -k for x, k in change.items()})
+                if d_pattern:
+                    targets.add(d_room, d_pattern, times)
+                else:
+                    now -= times
+                moves, changed = moves + 1, True
     return groups
 
 
-def plan_bins(histogram: dict[int, int], capacity: int, max_moves: int = MAX_MOVES) -> list[tuple[Pattern, int]]:
+def plan_bins(histogram: dict[int, int], capacity: int, max_moves: int | None = None) -> list[tuple[Pattern, int]]:
     """(pattern, how many bins have it) for a histogram of lengths."""
     groups = local_search(best_fit_decreasing(histogram, capacity), capacity, max_moves)
     return [(p, n) for room in groups.rooms for p, n in groups.by_room[room].items()]
@@ -293,46 +332,46 @@ def slots_of(plan: list[tuple[Pattern, int]]) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
-def assign(pieces: DataFrame, capacity: int = 4096, max_moves: int = MAX_MOVES) -> DataFrame:
-    """Adds sequence_id and offset to a written table of pieces.
+def assign(pieces: DataFrame, capacity: int = 4096, max_moves: int | None = None) -> DataFrame:
+    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32 and perhaps ids).
 
-    ``pieces`` must be a stored table: it is read for the histogram, for the ranks and for the result.
+    The pieces are written once, each with a salt from its place. What the driver gets is one number for each
+    length and salt.
     """
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    slots = slots_of(plan_bins(histogram, capacity, max_moves))
-    salts = -(-max(histogram.values(), default=1) // RANKS_PER_TASK)
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(salts)).cast("int")
+    pieces = write_table(pieces.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")), "pieces")
+    counted = pieces.groupBy("length", "_salt").agg(F.count("*").alias("n")).toPandas()  # at most `capacity` times SALTS rows
+    table = np.zeros((capacity + 1, SALTS), np.int64)
+    table[counted["length"].to_numpy(np.int64), counted["_salt"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    before = np.cumsum(table, axis=1) - table
+    slots = slots_of(plan_bins({k: int(n) for k, n in enumerate(table.sum(axis=1)) if n}, capacity, max_moves))
     own = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = pieces.withColumn("_salt", salt).withColumn("_rank", F.row_number().over(own).cast("long") - 1)
-    if salts > 1:
-        before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-        counts = pieces.withColumn("_salt", salt).groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-        counts = counts.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-        ranked = ranked.join(counts, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    ranked = pieces.withColumn("_rank", F.row_number().over(own).cast("long") - 1)
     keys = slots[:, 0] * (1 << 46) + slots[:, 1]
+    with_ids = "ids" in pieces.columns
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            length, rank = b["length"].to_numpy(np.int64), b["_rank"].to_numpy(np.int64)
+            length = b["length"].to_numpy(np.int64)
+            rank = b["_rank"].to_numpy(np.int64) + before[length, b["_salt"].to_numpy(np.int64)]
             slot = slots[np.searchsorted(keys, length * (1 << 46) + rank, side="right") - 1]
             nth = rank - slot[:, 1]
             b["sequence_id"] = slot[:, 2] + nth // slot[:, 3]
             b["offset"] = slot[:, 4] + nth % slot[:, 3] * length
-            yield b[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+            yield b[[*names, "sequence_id", "offset"]]
 
-    out = ranked.select(F.col("doc_id").cast("string").alias("doc_id"), "piece", "start", "length", "ids_crc32", "_rank")
-    return out.mapInPandas(place, PIECES + ", sequence_id long, offset long").withColumn("doc_id", F.col("doc_id").cast("long"))
+    out = ranked.select(F.col("doc_id").cast("string").alias("doc_id"), *names[1:], "_rank", "_salt")
+    return out.mapInPandas(place, PIECES + ", ids array<long>" * with_ids + ", sequence_id long, offset long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", max_moves: int = MAX_MOVES) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", max_moves: int | None = None) -> DataFrame:
     """Pack documents into sequences of at most ``capacity`` tokens; one row per piece."""
-    return assign(write_table(cut_pieces(docs, vocabulary, capacity, end_id, id_col, text_col), "pieces"), capacity, max_moves)
+    return assign(cut_pieces(docs, vocabulary, capacity, end_id, id_col, text_col), capacity, max_moves)
 
 
-def packed_sequences(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """The sequences themselves: sequence_id, n_tokens, ids. A group is bounded by the capacity. doc_id must be unique."""
-    placed = pack(docs, vocabulary, capacity, end_id).select("doc_id", "piece", "sequence_id", "offset")
-    ids = cut_pieces(docs, vocabulary, capacity, end_id, keep_ids=True).select("doc_id", "piece", "ids")
-    whole = placed.join(ids, ["doc_id", "piece"]).groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
+def packed_sequences(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The sequences themselves: sequence_id, n_tokens, ids. A group is bounded by the capacity. Ids need not be unique, nor known."""
+    placed = assign(cut_pieces(docs, vocabulary, capacity, end_id, id_col, text_col, keep_ids=True), capacity)
+    whole = placed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
     tokens = F.flatten(F.transform("parts", lambda p: p["ids"]))
     return whole.select("sequence_id", F.size(tokens).alias("n_tokens"), tokens.alias("ids"))
