@@ -97,12 +97,12 @@ def chunk_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text", across: bool = True) -> DataFrame:
     """Runs of chunks that also occur elsewhere: doc_id, text_key, start, end (bytes), cut (a first place lies before), first_doc_id, n_places.
 
-    ``across``: only chunks that occur in more than one document; without it, repeats inside one document count as well.
+    ``across``: only chunks that occur in more than one document (rows of one id are two where their texts differ); without it, repeats inside one document count as well.
     """
     chunks = chunk_rows(docs, id_col, text_col)
     place = F.struct("doc_id", "text_key", "at")
     seen = chunks.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
-    seen = seen.where("not first.doc_id <=> last.doc_id" if across else "first < last")
+    seen = seen.where("not (first.doc_id <=> last.doc_id and first.text_key = last.text_key)" if across else "first < last")
     seen = write_table(seen.select("digest", "first", "n"), "repeated")
     hits = chunks.join(seen, "digest").select("doc_id", "text_key", "at", "size", "first", "n").distinct()
     own = F.struct("doc_id", "text_key", "at") == F.col("first")
@@ -115,9 +115,9 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "d
     return runs.where(F.col("end") - F.col("start") >= min_bytes).select("doc_id", "text_key", "start", "end", F.col("copy").alias("cut"), "first_doc_id", "n_places")
 
 
-def dedup_substrings(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text", across: bool = True) -> DataFrame:
     """One row per document with repeats: doc_id, n_repeats, n_cut, cut_bytes, spans (start, end, cut, first_doc_id), first_doc_ids, n_places, text_key."""
-    spans = repeated_spans(docs, min_bytes, id_col, text_col)
+    spans = repeated_spans(docs, min_bytes, id_col, text_col, across)
     span = F.struct("start", "end", "cut", "first_doc_id")
     return spans.groupBy("doc_id", "text_key").agg(
         F.count("*").alias("n_repeats"),
@@ -138,9 +138,10 @@ def text_key(text: Column) -> Column:
     return key(text)
 
 
-def without_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text", across: bool = True) -> DataFrame:
     """``docs`` with the later copies of repeats cut out of the texts; same columns."""
-    cuts = write_table(dedup_substrings(docs, min_bytes, id_col, text_col).where("n_cut > 0").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.expr("transform(filter(spans, s -> s.cut), s -> array(s.start, s.end))").alias("_cuts")), "cuts")
+    found = dedup_substrings(docs, min_bytes, id_col, text_col, across).where("n_cut > 0")
+    cuts = write_table(found.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.expr("transform(filter(spans, s -> s.cut), s -> array(s.start, s.end))").alias("_cuts")), "cuts")
 
     @F.pandas_udf("string")
     def without(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -154,7 +155,8 @@ def without_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "
                 out.append(b"".join([*kept, raw[at:]]).decode("utf-8"))
             yield pd.Series(out, dtype=object)
 
-    rows = docs.withColumn("_k", text_key(F.col(text_col)))
-    rows = rows.join(cuts, F.col(id_col).eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_key")), "left")
-    changed = rows.where("_cuts is not null").withColumn(text_col, without(F.col(text_col), F.col("_cuts")))
-    return changed.unionByName(rows.where("_cuts is null")).select(*docs.columns)
+    # the row is one column, so that no name of the input can clash
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    rows = rows.withColumn("_k", text_key(F.col("_text"))).join(cuts, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_key")), "left")
+    changed = rows.where("_cuts is not null").withColumn("_row", F.col("_row").withField(text_col, without(F.col("_text"), F.col("_cuts"))))
+    return changed.select("_row.*").unionByName(rows.where("_cuts is null").select("_row.*"))

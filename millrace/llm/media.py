@@ -11,8 +11,10 @@ values give equal results. Very long values are scanned whole. Other columns are
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -130,9 +132,19 @@ def _bmp(b: bytes, at: int) -> int | None:
     return size if header in (12, 40, 52, 56, 108, 124) and 14 + header <= start <= size <= len(b) - at else None
 
 
-def _pdf(b: bytes, at: int) -> int | None:
-    end = b.rfind(b"%%EOF", at)
-    return end + 5 - at if end > 0 else None
+class _Value(bytes):
+    """Bytes that remember where marks are, so that many chance matches don't each search the rest."""
+
+    def places(self, mark: bytes) -> list[int]:
+        known = self.__dict__.setdefault("known", {})
+        if mark not in known:
+            known[mark] = [m.start() for m in re.finditer(re.escape(mark), self)]
+        return known[mark]
+
+
+def _pdf(b: _Value, at: int) -> int | None:
+    ends = b.places(b"%%EOF")
+    return ends[-1] + 5 - at if ends and ends[-1] > at else None
 
 
 def _gzip(b: bytes, at: int) -> int | None:
@@ -148,10 +160,12 @@ def _gzip(b: bytes, at: int) -> int | None:
     return len(b) - at - len(d.unused_data) if d.eof else None
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
+def _zip(b: _Value, at: int) -> int | None:
+    ends = b.places(b"PK\x05\x06")
+    k = bisect_left(ends, at)
+    if k == len(ends) or ends[k] + 22 > len(b):
         return None
+    end = ends[k]
     directory, offset, note = struct.unpack_from("<IIH", b, end + 12)
     return end + 22 + note - at if directory + offset == end - at and end + 22 + note <= len(b) else None
 
@@ -184,7 +198,7 @@ def _ogg(b: bytes, at: int) -> int | None:
 
 
 #: Signatures of public formats, with the media type and the validator that returns the length.
-FORMATS: list[tuple[bytes, str, Callable[[bytes, int], int | None]]] = [
+FORMATS: list[tuple[bytes, str, Callable[[_Value, int], int | None]]] = [
     (b"\x89PNG\r\n\x1a\n", "image/png", _png),
     (b"RIFF", "audio/wav", _wav),
     (b"RIFF", "video/x-msvideo", _avi),
@@ -212,7 +226,7 @@ class Sniffer:
 
     def find(self, value: bytes) -> list[tuple[int, int, str]]:
         """Confirmed media as (offset, length, type), by offset; what lies inside a confirmed one is left to a call on that part."""
-        out, over = [], -1
+        value, out, over = _Value(value), [], -1
         for last, magic in self.automaton.iter(value.decode("latin-1")):
             at = last - len(magic) + 1
             if at < over and at != 0:

@@ -15,8 +15,8 @@ result.
 Defined cases: a null source, language or topic is a value of its own. A null or empty text weighs one
 token. A value without a target keeps its natural share among the values without one; targets of values
 that do not occur are spread over the others. Repeated rows with the same id are kept or left together; a
-null id is drawn by its text. An empty table gives an empty result. Columns of the input are returned as
-they are; the operator's own names begin with ``_mix``.
+null id is drawn by its text. An empty table gives an empty result. ``sample`` returns the input's columns
+whatever their names; ``mix`` adds columns that begin with ``_mix``, which replace input columns of the same name.
 """
 
 from __future__ import annotations
@@ -138,11 +138,11 @@ def _scale(above: Callable[[float], dict[object, tuple[float, float]]], slack: f
 
 
 def with_probability(docs: DataFrame, targets: Targets = None, power: Mapping[str, float] = POWERS, rounds: int = 100, source_col: str = "source", lang_col: str = "lang", text_col: str = "text", topic: Column | None = None, driver_cells: int = DRIVER_CELLS, slack: float = SLACK) -> DataFrame:
-    """``docs`` with _mix_topic, _mix_tokens and _mix_probability. Dimensions without targets get their natural shares tempered by ``power``."""
+    """_row (``docs``'s columns), _mix_source, _mix_lang, _mix_topic, _mix_tokens and _mix_probability. Dimensions without targets get their natural shares tempered by ``power``. ``topic``: an expression over ``docs``."""
     spark = docs.sparkSession
-    rows = docs.withColumn("_mix_form", weighed(F.col(text_col)))
-    own = {"source": F.col(source_col), "lang": F.col(lang_col), "topic": F.col("_mix_form.topic") if topic is None else topic}
-    rows = rows.withColumns({f"_mix_{d}": F.coalesce(c.cast("string"), F.lit(NULL_VALUE)) for d, c in own.items()} | {"_mix_tokens": F.col("_mix_form.tokens")}).drop("_mix_form")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.struct(F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), *([topic.alias("topic")] if topic is not None else [])).alias("_own"), weighed(F.col(text_col)).alias("_form"))
+    own = {d: F.col(f"_form.{d}" if d == "topic" and topic is None else f"_own.{d}") for d in DIMS}
+    rows = rows.select("_row", *[F.coalesce(c.cast("string"), F.lit(NULL_VALUE)).alias(f"_mix_{d}") for d, c in own.items()], F.col("_form.tokens").alias("_mix_tokens"))
     keys = [f"_mix_{d}" for d in DIMS]
     cells = rows.groupBy(*keys).agg(F.sum("_mix_tokens").alias("_mix_tokens"))
     named = {d: sorted({NULL_VALUE if v is None else v for v in targets[d]}) for d in DIMS if targets and d in targets}
@@ -202,15 +202,33 @@ def with_probability(docs: DataFrame, targets: Targets = None, power: Mapping[st
     return rows.join(raked, keys)
 
 
-def mix(docs: DataFrame, targets: Targets = None, power: Mapping[str, float] = POWERS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """``docs`` with _mix_* columns and _mix_kept. Filter on it and drop them to sample."""
+def _drawn(docs: DataFrame, targets: Targets, power: Mapping[str, float], seed: int, id_col: str, text_col: str, **more) -> DataFrame:
     rows = with_probability(docs, targets, power, text_col=text_col, **more)
-    # an offset keeps the draw apart from other hashes of the id
-    key = F.xxhash64(F.lit(seed), F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col)))
+    own, text = F.col("_row")[id_col], F.col("_row")[text_col]
+    # the seed keeps the draw apart from other hashes of the id
+    key = F.xxhash64(F.lit(seed), own, F.when(own.isNull(), text))
     uniform = F.pmod(key, F.lit(1 << 53)).cast("double") / float(1 << 53)
     return rows.withColumn("_mix_kept", uniform < F.col("_mix_probability"))
 
 
-def sample(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, targets: Targets = None, power: Mapping[str, float] = POWERS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """``docs`` with _mix_* columns and _mix_kept. Filter on it and drop them to sample."""
+    rows = _drawn(docs, targets, power, seed, id_col, text_col, **more)
+    new = [c for c in rows.columns if c != "_row"]
+    return rows.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in new], *new)
+
+
+def sample(docs: DataFrame, targets: Targets = None, power: Mapping[str, float] = POWERS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """The kept documents with the columns of ``docs``."""
-    return mix(docs, **options).where("_mix_kept").select(*docs.columns)
+    return _drawn(docs, targets, power, seed, id_col, text_col, **more).where("_mix_kept").select("_row.*")
+
+
+def attained(mixed: DataFrame) -> dict[str, DataFrame]:
+    """Of each dimension, a table of its values (_mix_*) with their natural share of tokens and the share that the probabilities give them."""
+    out = {}
+    # partial sums of cells, so that one pass over the rows serves all dimensions
+    cells = write_table(mixed.groupBy(*[f"_mix_{d}" for d in DIMS]).agg(F.sum("_mix_tokens").alias("n"), F.sum(F.col("_mix_tokens") * F.col("_mix_probability")).alias("k")), "margins")
+    n, k = cells.agg(F.sum("n"), F.sum("k")).first()
+    for d in DIMS:
+        out[d] = cells.groupBy(f"_mix_{d}").agg((F.sum("n") / F.lit(n or 1.0)).alias(f"{d}_natural"), (F.sum("k") / F.lit(k or 1.0)).alias(f"{d}_share"))
+    return out
