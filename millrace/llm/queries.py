@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, chunks, html, jaccard, media, mixing, packing, pii, quality, urls
+from millrace.llm import chat, chunks, html, jaccard, media, mixing, oracles, packing, pii, quality, urls
 from millrace.llm.scratch import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,10 +57,21 @@ def op7_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_texts(_table(spark, sf_dir, "documents"))
 
 
+#: Target shares of tokens for the query: three margins. What is not named keeps its natural share of what they leave.
+TARGETS = {
+    "source": {f"src{i}": 0.06 if i < 5 else 0.04 for i in range(20)},
+    "lang": {"en": 0.46, "de": 0.18, "fr": 0.18, "es": 0.14},
+    "topic": {"prose": 0.5, "long": 0.2, "listing": 0.1, "numeric": 0.04, "tiny": 0.01},
+}
+
+
 def op8_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its cell's calibrated probability and whether the draw keeps it."""
-    rows = mixing.mix(_table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "source", "lang", F.col("_mix_topic").alias("topic"), F.col("_mix_tokens").cast("long").alias("n_tokens"), F.round("_mix_probability", 12).alias("probability"), F.col("_mix_kept").alias("kept"))
+    """Every document with its cell's calibrated probability, whether the draw keeps it, and the natural and attained shares of its source, language and topic."""
+    rows = mixing.mix(_table(spark, sf_dir, "documents"), TARGETS)
+    for d, shares in mixing.attained(rows).items():
+        rows = rows.join(shares, f"_mix_{d}")
+    shares = [F.round(f"{d}_{x}", 9).alias(f"{d}_{x}") for d in mixing.DIMS for x in ("natural", "share")]
+    return rows.select("doc_id", "source", "lang", F.col("_mix_topic").alias("topic"), F.col("_mix_tokens").cast("long").alias("n_tokens"), F.round("_mix_probability", 12).alias("probability"), F.col("_mix_kept").alias("kept"), *shares)
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +89,16 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op1 that SQL can express."""
+    return quality.base_counts(_table(spark, sf_dir, "documents"))
+
+
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op5 that SQL can express."""
+    return pii.base_report(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     own = [
         op1_quality_rules,
@@ -90,9 +111,16 @@ def queries() -> dict[str, Query]:
         op8_target_weights,
         op9_chat_formatting,
         op10_ngram_jaccard,
+        quality_base_counts,
+        pii_base_spans,
     ]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_redirect_equivalence": oracles.REDIRECT_EQUIVALENCE,
+        "op9_chat_formatting": oracles.chat_formatting(CONTROL_TEXT),
+        "quality_base_counts": oracles.QUALITY_BASE_COUNTS,
+        "pii_base_spans": oracles.PII_BASE_SPANS,
+    }
