@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import physics as P
 from millrace.operators import simulate as U
-from millrace.plans.registry import query
+from millrace.operators.aggregates import covariance
+from millrace.operators.features import FEATURES, feature_rows, with_truth
+from millrace.plans import ordered  # noqa: F401  (its SQL is used here)
+from millrace.plans.registry import ORACLES, query
 from millrace.plans.relational import _events
 from millrace.sources.tables import table
 from millrace.streaming import assembler, windows
+from millrace.streaming.available import event_stream, run_available
 
 
 def samples(events: DataFrame) -> DataFrame:
@@ -66,3 +70,67 @@ def m1_mean_reverting_process(spark: SparkSession, d: str) -> DataFrame:
 def m10_recording(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("cycle"), (F.col("o_orderkey") * 100.0).alias("t0"), F.lit(10.0).alias("len"), F.col("o_totalprice").alias("price"), F.col("o_custkey").alias("cust"))
     return U.recording(o, "t0", "len", {"price": 2.0, "cust": 0.5}).withColumn("t", F.round("t", 6))
+
+
+#: Cycles of twelve samples of a user, in order; samples outside [0.5, 99] are rejected.
+_CYCLES = """(SELECT user_id, (rn - 1) // 12 AS cycle, (rn - 1) % 12 AS i, t, value, event_type FROM (SELECT *, epoch_us(ts) / 1e6 - 1704067200.0 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) r) c"""
+_FEATURES_SQL = f"""WITH a AS (SELECT *, coalesce(value BETWEEN 0.5 AND 99, false) AS ok FROM {_CYCLES}),
+    m AS (SELECT *, sum((NOT ok)::INT) OVER (PARTITION BY user_id, cycle) AS n_rejected, t - min(t) OVER (PARTITION BY user_id, cycle) AS x FROM a),
+    b AS (SELECT user_id, cycle, i, x, value AS y, n_rejected, row_number() OVER w - 1 AS j, count(*) OVER (PARTITION BY user_id, cycle) AS n, y - lag(y) OVER w AS d1, y - 2 * lag(y, 1) OVER w + lag(y, 2) OVER w AS d2, x - lag(x) OVER w AS dt, lag(y) OVER w AS py, avg(y) OVER (PARTITION BY user_id, cycle) AS mu FROM m WHERE ok WINDOW w AS (PARTITION BY user_id, cycle ORDER BY i)),
+    s AS (SELECT *, y - mu AS d, sum(y - mu) OVER r AS s1, sum((y - mu) ** 2) OVER r AS s2 FROM b WINDOW r AS (PARTITION BY user_id, cycle ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+    u AS (SELECT *, round((s2 / (n - j) - s1 * s1 / ((n - j) * (n - j))) / (n - j), 9) AS rule FROM s),
+    tr AS (SELECT user_id, cycle, arg_min(j, (rule, j)) AS transient FROM u WHERE 2 * j <= n GROUP BY 1, 2),
+    v AS (SELECT u.*, transient, j >= transient AS inside, j - transient + 1 AS k FROM u JOIN tr USING (user_id, cycle)),
+    g AS (SELECT *, sum(d) FILTER (inside) OVER (PARTITION BY user_id, cycle) AS total, sum(inside::INT) OVER (PARTITION BY user_id, cycle) AS size, sum(CASE WHEN inside THEN d ELSE 0 END) OVER (PARTITION BY user_id, cycle ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM v),
+    h AS (SELECT *, CASE WHEN inside AND k < size THEN round((run - k * total / size) ** 2 * size / (k * (size - k)), 9) END AS gain FROM g),
+    o AS (SELECT user_id, cycle, max(gain) AS onset_gain, arg_max(j, (gain, -j)) FILTER (gain IS NOT NULL) + 1 AS onset FROM h GROUP BY 1, 2), z AS (SELECT * FROM h JOIN o USING (user_id, cycle)),
+    f AS (SELECT user_id, cycle, count(*) AS n, any_value(n_rejected) AS n_rejected, max(x) - min(x) AS duration, avg(y) AS mean, stddev_pop(y) AS sd, min(y) AS low, max(y) AS high, arg_min(y, j) AS first, arg_max(y, j) AS last, sqrt(avg(d1 * d1)) AS step_rms, sqrt(avg(d2 * d2) / 6) AS noise,
+        regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, sqrt(greatest(0, (regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / count(*))) AS residual_sd, coalesce(sum((y + py) / 2 * dt), 0) AS area, arg_min(x, (-y, j)) AS peak_at, any_value(transient) AS transient, avg(y) FILTER (inside) AS settled_mean, stddev_pop(y) FILTER (inside) AS settled_sd,
+        any_value(onset) AS onset, any_value(onset_gain) AS onset_gain, avg(y) FILTER (inside AND j < onset) AS before, avg(y) FILTER (j >= onset) AS after, regr_slope(y, x) FILTER (j >= z.n - 5) AS end_slope, avg((y > mu)::INT) AS above_mean FROM z GROUP BY 1, 2)"""
+_ROUNDED = [c for c in FEATURES if c not in ("n", "n_rejected", "transient", "onset")]
+_SELECTED = ", ".join(f"round({'after - before' if c == 'change' else c}, 6) AS {c}" if c in _ROUNDED else f"{c}::BIGINT AS {c}" for c in FEATURES)
+
+
+def _cycle_samples(spark: SparkSession, d: str) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    return _events(spark, d).withColumns({"cycle": F.floor(rank / 12), "i": rank % 12})
+
+
+def _feature_rows(spark: SparkSession, d: str) -> DataFrame:
+    return feature_rows(_cycle_samples(spark, d), ["user_id", "cycle"], ["i"], "t", "value", F.lit(0.5), F.lit(99.0))
+
+
+@query(f"{_FEATURES_SQL} SELECT user_id, cycle::BIGINT AS cycle, {_SELECTED} FROM f")
+def e5_feature_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Samples to one row of 26 features a cycle, over all users (mask, transient, change, aggregates)."""
+    return _feature_rows(spark, d).select("user_id", "cycle", *[F.round(c, 6).alias(c) if c in _ROUNDED else c for c in FEATURES])
+
+
+@query(f"{_FEATURES_SQL}, y AS (SELECT user_id, cycle, count(*) FILTER (event_type = 'error')::BIGINT AS errors FROM {_CYCLES} GROUP BY 1, 2) SELECT user_id, f.cycle::BIGINT AS cycle, round(mean, 6) AS mean, onset::BIGINT AS onset, errors AS y_errors FROM f JOIN y USING (user_id, cycle)")
+def j6_truth_on_features(spark: SparkSession, d: str) -> DataFrame:
+    truth = _cycle_samples(spark, d).groupBy("user_id", "cycle").agg(F.count_if(F.col("event_type") == "error").alias("errors"))
+    return with_truth(_feature_rows(spark, d), truth, ["user_id", "cycle"], ["errors"]).select("user_id", "cycle", F.round("mean", 6).alias("mean"), "onset", "y_errors")
+
+
+@query("SELECT event_type, epoch_us(time_bucket(INTERVAL 6 HOUR, ts))::BIGINT AS start_us, count(*)::BIGINT AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def t4_streamed_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Watermarked windows through a stream that runs until its source is read; each window's last update counts."""
+    out = run_available(windows.tumbling(event_stream(spark, d), "ts", "6 hours", ["event_type"], "value", late="1 hour"), "complete")
+    return out.select("event_type", F.unix_micros("w.start").alias("start_us"), "n", F.round("total", 6).alias("total"))
+
+
+@query(ORACLES["t1_cycle_assembler"])
+def t1_streamed_assembler(spark: SparkSession, d: str) -> DataFrame:
+    """The assembler with its state, as a stream."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", windows.ROCKSDB)
+    c = run_available(assembler.assemble_stream(samples(event_stream(spark, d)), "signup", "purchase"), "append")
+    return c.select("press", "cycle", "n", *[F.round(x, 6).alias(x) for x in ("mean", "low", "held")])
+
+
+@query(ORACLES["w13_mewma_stream"])
+def t6_streamed_mewma(spark: SparkSession, d: str) -> DataFrame:
+    """The multivariate EWMA with its vector kept as state, as a stream; moments come from the table."""
+    e = _events(spark, d).withColumn("k", F.get_json_object("props", "$.k").cast("double"))
+    mean, cov, _ = covariance(e, ["value", "k"])
+    stream = event_stream(spark, d).withColumn("k", F.get_json_object("props", "$.k").cast("double"))
+    return run_available(windows.mewma_stream(stream, "user_id", "long", ["ts", "event_id"], ["value", "k"], mean, cov, 0.1), "append").select("event_id", F.round("mewma", 6).alias("mewma"))

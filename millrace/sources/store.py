@@ -1,10 +1,11 @@
-"""Feature store: Parquet partitioned by stream, idempotent upserts by cycle, half-open range scans."""
+"""Feature store: Parquet by stream, idempotent upserts by cycle with atomic commits, half-open range scans."""
 
 from __future__ import annotations
 
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +16,11 @@ def safe_name(name: Column) -> Column:
 
 
 class CycleStore:
-    """``root/version=.../stream=...``: every upsert writes a new version, so a reader never sees files that change.
+    """``root/data/version=.../stream=...`` and ``root/commits/<number>.json``, which names every stream's version.
 
-    A small pointer file names the current version; replacing it is the commit.
+    An upsert rewrites the streams it touches under a new version and publishes them by renaming one complete
+    commit file into place, so a reader sees a whole state at all times, and a writer that dies leaves the last
+    one. Of two writers that started from one state the second fails. ``vacuum`` deletes what no commit names.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -28,31 +31,75 @@ class CycleStore:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _current(self) -> str | None:
-        fs, p = self._fs(f"{self.root}/current")
-        return self.spark.read.text(f"{self.root}/current").first()[0] if fs.exists(p) else None
+    def _commits(self) -> list[int]:
+        fs, p = self._fs(f"{self.root}/commits")
+        return sorted(int(f.getPath().getName()[:-5]) for f in fs.listStatus(p) if f.getPath().getName().endswith(".json")) if fs.exists(p) else []
+
+    def _state(self) -> tuple[int, dict[str, str]]:
+        """Number of the last commit, and stream -> version."""
+        numbers = self._commits()
+        if not numbers:
+            return 0, {}
+        return numbers[-1], json.loads(self.spark.read.text(f"{self.root}/commits/{numbers[-1]:012}.json", wholetext=True).first()[0])
+
+    def _publish(self, number: int, versions: dict[str, str]) -> None:
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        fs, draft = self._fs(f"{self.root}/commits/.{uuid.uuid4().hex}")
+        out = fs.create(draft)
+        out.write(bytearray(json.dumps(versions, sort_keys=True).encode()))
+        out.close()
+        final = self._fs(f"{self.root}/commits/{number:012}.json")[1]
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:  # a rename that does not overwrite
+            context.rename(fs.makeQualified(draft), fs.makeQualified(final), gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as e:
+            fs.delete(draft, False)
+            raise RuntimeError(f"another writer published commit {number} meanwhile; run the upsert again") from e
+
+    def _frame(self, versions: dict[str, str]) -> DataFrame:
+        paths = [f"{self.root}/data/version={v}/stream={s}" for s, v in sorted(versions.items())]
+        df = self.spark.read.option("mergeSchema", "true").option("basePath", f"{self.root}/data").parquet(*paths).drop("version")
+        return df.withColumn("stream", F.col("stream").cast("string"))
 
     def upsert(self, rows: DataFrame) -> None:
         """Rows of ``(stream, cycle)`` pairs in ``rows`` replace the stored ones; repeats inside ``rows`` stay."""
-        now, version = self._current(), f"version={uuid.uuid4().hex}"
+        number, versions = self._state()
         rows = rows.withColumn("stream", safe_name(F.col("stream")))
-        if now is not None:
-            rows = upserted(self.spark.read.parquet(f"{self.root}/{now}"), rows, ["stream", "cycle"])
-        rows.repartition("stream", F.floor(F.col("cycle") / 1_000_000)).sortWithinPartitions("stream", "cycle").write.partitionBy("stream").parquet(f"{self.root}/{version}")
-        self.spark.range(1).select(F.lit(version).alias("value")).coalesce(1).write.mode("overwrite").text(f"{self.root}/current")
+        touched = [r[0] for r in rows.select("stream").distinct().collect()]
+        if not touched:
+            return
+        old = {s: versions[s] for s in touched if s in versions}
+        if old:
+            rows = upserted(self._frame(old), rows, ["stream", "cycle"])
+        version = uuid.uuid4().hex
+        rows.repartition("stream", F.floor(F.col("cycle") / 1_000_000)).sortWithinPartitions("stream", "cycle").write.partitionBy("stream").parquet(f"{self.root}/data/version={version}")
+        self._publish(number + 1, versions | {s: version for s in touched})
 
     def read(self, stream: str | None = None, columns: list[str] | None = None, cycle_from: int | None = None, cycle_to: int | None = None) -> DataFrame:
-        """Partition pruning by stream, pushed-down range on cycle, only the columns asked for (and cycle)."""
-        now = self._current()
-        if now is None:
-            return self.spark.createDataFrame([], "stream string, cycle long")
-        df = self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{now}").withColumn("stream", F.col("stream").cast("string"))
+        """Only the stream's files, a pushed-down range on cycle, only the columns asked for (and cycle)."""
+        versions = self._state()[1]
         if stream is not None:
-            df = df.where(F.col("stream") == safe_name(F.lit(stream)))
-        return scan(df, "cycle", cycle_from, cycle_to, None if columns is None else ["stream", "cycle", *[c for c in columns if c not in ("stream", "cycle")]])
+            name = self.spark.range(1).select(safe_name(F.lit(stream))).first()[0]
+            versions = {s: v for s, v in versions.items() if s == name}
+        if not versions:
+            return self.spark.createDataFrame([], "stream string, cycle long")
+        return scan(self._frame(versions), "cycle", cycle_from, cycle_to, None if columns is None else ["stream", "cycle", *[c for c in columns if c not in ("stream", "cycle")]])
 
     def streams(self) -> list[str]:
-        return [r[0] for r in self.read().select("stream").distinct().orderBy("stream").collect()]
+        return sorted(self._state()[1])
+
+    def vacuum(self, keep: int = 1) -> None:
+        """Delete all commits but the last ``keep``, and the versions that none of these names. Readers of older states must be done."""
+        numbers = self._commits()
+        fs, data = self._fs(f"{self.root}/data")
+        used: set[str] = set()
+        for n in numbers[-keep:]:
+            used |= set(json.loads(self.spark.read.text(f"{self.root}/commits/{n:012}.json", wholetext=True).first()[0]).values())
+        for n in numbers[:-keep]:
+            fs.delete(self._fs(f"{self.root}/commits/{n:012}.json")[1], False)
+        for f in fs.listStatus(data) if fs.exists(data) else []:
+            if f.getPath().getName().removeprefix("version=") not in used:
+                fs.delete(f.getPath(), True)
 
 
 def scan(df: DataFrame, key: str, low: object | None, high: object | None, columns: list[str] | None) -> DataFrame:

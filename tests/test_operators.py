@@ -299,4 +299,83 @@ def test_store_upsert_and_scan(spark, tmp_path):
     before = content_hash(store.read()).first()
     store.upsert(rows([(3, 30.0), (4, 4.0)]))
     assert content_hash(store.read()).first() == before
+    other = spark.createDataFrame([("press 2", 1, 9.0, "x")], "stream string, cycle long, a double, b string")
+    store.upsert(other)
+    assert store.streams() == ["press_1", "press_2"] and store.read("press 2").first()["b"] == "x" and store.read().count() == 5
+    assert store._state()[1]["press_1"] != store._state()[1]["press_2"]
+    stale = CycleStore(spark, store.root)
+    stale._state = lambda state=store._state(): state
+    store.upsert(other)
+    with pytest.raises(RuntimeError, match="another writer"):
+        stale.upsert(other)
+    store.vacuum()
+    assert store.read().count() == 5 and len(store._commits()) == 1
+    store = CycleStore(spark, f"file://{tmp_path}/plain")
+    store.upsert(rows([(1, 1.0), (2, 2.0), (3, 30.0), (4, 4.0)]))
     assert '"rows": 4' in manifest(store.read(), "stream") and markdown(store.read("press 1").orderBy("cycle")).startswith("| a |") is False
+
+
+def test_features_of_a_known_cycle(spark):
+    from millrace.operators.features import feature_rows
+
+    y = [90.0, 40.0, 10.0, 10.1, 9.9, 10.0, 10.1, 9.9, 20.0, 20.1, 19.9, 20.0]
+    rows = [("a", i, 100.0 + 2 * i, v) for i, v in enumerate(y)] + [("a", 12, 124.0, 1e9), ("a", 13, 126.0, None), ("b", 0, 5.0, 7.0)]
+    df = spark.createDataFrame(rows, "k string, i int, t double, v double")
+    got = {r["k"]: r for r in feature_rows(df, ["k"], ["i"], "t", "v", F.lit(0.0), F.lit(100.0)).collect()}
+    a, b = got["a"], got["b"]
+    assert (a["n"], a["n_rejected"], a["duration"], a["first"], a["last"]) == (12, 2, 22.0, 90.0, 20.0)
+    assert a["transient"] == 2 and a["onset"] == 8 and a["change"] == pytest.approx(10.0) and a["settled_mean"] == pytest.approx(np.mean(y[2:]))
+    assert a["slope"] == pytest.approx(np.polyfit(2.0 * np.arange(12), y, 1)[0]) and a["area"] == pytest.approx(np.trapezoid(y, dx=2.0)) and a["peak_at"] == 0.0
+    assert a["end_slope"] == pytest.approx(np.polyfit(2.0 * np.arange(5), y[-5:], 1)[0]) and a["noise"] == pytest.approx(np.sqrt(np.mean(np.diff(y, 2) ** 2) / 6))
+    assert b["n"] == 1 and b["onset"] is None and b["transient"] == 0 and b["area"] == 0.0
+
+
+def test_pooled_prediction_is_the_mean_and_variance_over_draws(spark):
+    rng = np.random.default_rng(8)
+    rows = [(float(rng.random()), "xyz"[i % 3], int(i % 4), float(rng.random())) for i in range(200)]
+    df = spark.createDataFrame(rows, "x double, g string, h int, y double")
+    model = R.fit_pooled(df, ["x"], ["g", "h"], "y", 300, 100, 1)
+    new = spark.createDataFrame([(0.5, "x", 1), (0.1, "new", 2), (0.2, None, 9)], "x double, g string, h int")
+    for r in R.predict_pooled(new, model, ["g", "h"]).collect():
+        value, extra = model.draws[:, 0] + r["x"] * model.draws[:, 1], model.sigma2.mean()
+        for a, (name, at) in enumerate((("g", 2), ("h", 5))):
+            if r[name] in model.levels[name]:
+                value = value + model.draws[:, at + model.levels[name].index(r[name])]
+            else:
+                extra += model.tau2[:, a].mean()
+        assert r["predicted"] == pytest.approx(value.mean()) and r["variance"] == pytest.approx(value.var() + extra)
+
+
+def test_geweke_of_white_and_drifting_chains():
+    rng = np.random.default_rng(3)
+    z = np.array([R.geweke(rng.standard_normal(2000)) for _ in range(200)])
+    assert 0.8 < z.std() < 1.3 and abs(R.geweke(np.linspace(0, 5, 2000) + rng.standard_normal(2000))) > 5 and R.geweke(np.ones(50)) == 0
+
+
+def test_joint_limits_against_all_quantiles(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 2)) @ [[1, 0.6], [0, 1]]
+    limits = A.joint_limits(spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double"), ["a", "b"], 0.05, 500)
+    alarm = lambda q: np.mean((x > np.quantile(x, q, axis=0, method="inverted_cdf")).any(axis=1))
+    want = min(q for q in 0.95 + 0.05 * np.arange(501) / 500 if alarm(q) <= 0.05)
+    assert [limits["a"], limits["b"]] == pytest.approx(np.quantile(x, want, axis=0, method="inverted_cdf"))
+
+
+def test_block_bootstrap_of_a_rate(spark):
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([("a", i, bool(v)) for i, v in enumerate(rng.random(3000) < 0.2)], "k string, i int, f boolean")
+    rate, low, high = A.block_bootstrap_rate(A.block_rates(df, ["k"], "i", "f", 10), 500, 2)
+    assert low < rate < high and rate == pytest.approx(0.2, abs=0.03) and high - low == pytest.approx(2 * 1.645 * math.sqrt(0.16 / 3000), rel=0.3)
+
+
+def test_ewma_path_and_moments(spark):
+    rng = np.random.default_rng(5)
+    x, z, want = rng.standard_normal((300, 2)), np.array([1.0, -2.0]), []
+    for v in x:
+        z = 0.1 * v + 0.9 * z
+        want.append(z)
+    assert np.allclose(M.ewma_path(x, 0.1, np.array([1.0, -2.0])), want)
+    df = spark.createDataFrame([([float(1e6 + a) for a in r],) for r in rng.standard_normal((400, 5))] + [(None,)], "v array<double>").repartition(5)
+    mean, cov, n = M.vector_moments(df, "v")
+    rows = np.array([r["v"] for r in df.where("v is not null").collect()])
+    assert n == 400 and np.allclose(mean, rows.mean(axis=0)) and np.allclose(cov, np.cov(rows.T))
