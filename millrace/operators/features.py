@@ -58,9 +58,9 @@ def feature_rows(samples: DataFrame, by: list[str], order: list[str], t: str, y:
     rows = p.groupBy(*by).agg(
         F.count("*").alias("n"), F.first("n_rejected").alias("n_rejected"), (F.max(x) - F.min(x)).alias("duration"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.min(v).alias("low"), F.max(v).alias("high"),
         F.min_by(v, "_j").alias("first"), F.max_by(v, "_j").alias("last"), F.sqrt(F.avg(F.col("_d1") * F.col("_d1"))).alias("step_rms"), F.sqrt(F.avg(F.col("_d2") * F.col("_d2")) / 6).alias("noise"),
-        F.regr_slope(v, x).alias("slope"), F.regr_intercept(v, x).alias("intercept"), F.sqrt(F.greatest(F.lit(0.0), (F.regr_syy(v, x) - F.regr_slope(v, x) * F.regr_sxy(v, x)) / F.count("*"))).alias("residual_sd"),
+        F.regr_slope(v, x).alias("slope"), F.regr_intercept(v, x).alias("intercept"), F.when(F.count("*") > 2, F.sqrt(F.greatest(F.lit(0.0), (F.regr_syy(v, x) - F.regr_slope(v, x) * F.regr_sxy(v, x)) / F.count("*")))).otherwise(0.0).alias("residual_sd"),
         F.coalesce(F.sum((v + F.col("_py")) / 2 * F.col("_dt")), F.lit(0.0)).alias("area"), F.min_by(x, F.struct((-v).alias("v"), F.col("_j").alias("j"))).alias("peak_at"),
-        F.first("transient").cast("long").alias("transient"), F.avg(settled).alias("settled_mean"), F.stddev_pop(settled).alias("settled_sd"), F.first("onset").cast("long").alias("onset"), F.first("onset_gain").alias("onset_gain"),
+        F.first("transient").cast("long").alias("transient"), F.avg(settled).alias("settled_mean"), F.stddev_pop(settled).alias("settled_sd"), F.first("onset").cast("long").alias("onset"), F.sqrt(F.first("onset_gain")).alias("onset_gain"),
         before_.alias("before"), F.avg(F.when(after, v)).alias("after"), (F.avg(F.when(after, v)) - before_).alias("change"), F.regr_slope(F.when(end, v), F.when(end, x)).alias("end_slope"), F.avg((v > F.col("_m")).cast("double")).alias("above_mean"),
     )
     return rows.select(*by, *FEATURES)

@@ -85,10 +85,10 @@ _FEATURES_SQL = f"""WITH a AS (SELECT *, coalesce(value BETWEEN 0.5 AND 99, fals
     h AS (SELECT *, CASE WHEN inside AND k < size THEN round((run - k * total / size) ** 2 * size / (k * (size - k)), 9) END AS gain FROM g),
     o AS (SELECT user_id, cycle, max(gain) AS onset_gain, arg_max(j, (gain, -j)) FILTER (gain IS NOT NULL) + 1 AS onset FROM h GROUP BY 1, 2), z AS (SELECT * FROM h JOIN o USING (user_id, cycle)),
     f AS (SELECT user_id, cycle, count(*) AS n, any_value(n_rejected) AS n_rejected, max(x) - min(x) AS duration, avg(y) AS mean, stddev_pop(y) AS sd, min(y) AS low, max(y) AS high, arg_min(y, j) AS first, arg_max(y, j) AS last, sqrt(avg(d1 * d1)) AS step_rms, sqrt(avg(d2 * d2) / 6) AS noise,
-        regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, sqrt(greatest(0, (regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / count(*))) AS residual_sd, coalesce(sum((y + py) / 2 * dt), 0) AS area, arg_min(x, (-y, j)) AS peak_at, any_value(transient) AS transient, avg(y) FILTER (inside) AS settled_mean, stddev_pop(y) FILTER (inside) AS settled_sd,
-        any_value(onset) AS onset, any_value(onset_gain) AS onset_gain, avg(y) FILTER (inside AND j < onset) AS before, avg(y) FILTER (j >= onset) AS after, regr_slope(y, x) FILTER (j >= z.n - 5) AS end_slope, avg((y > mu)::INT) AS above_mean FROM z GROUP BY 1, 2)"""
-_ROUNDED = [c for c in FEATURES if c not in ("n", "n_rejected", "transient", "onset")]
-_SELECTED = ", ".join(f"round({'after - before' if c == 'change' else c}, 6) AS {c}" if c in _ROUNDED else f"{c}::BIGINT AS {c}" for c in FEATURES)
+        nullif(regr_slope(y, x), 'nan'::DOUBLE) AS slope, nullif(regr_intercept(y, x), 'nan'::DOUBLE) AS intercept, CASE WHEN count(*) > 2 THEN sqrt(greatest(0, coalesce(nullif((regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / count(*), 'nan'::DOUBLE), 0))) ELSE 0 END AS residual_sd, coalesce(sum((y + py) / 2 * dt), 0) AS area, arg_min(x, (-y, j)) AS peak_at, any_value(transient) AS transient, avg(y) FILTER (inside) AS settled_mean, stddev_pop(y) FILTER (inside) AS settled_sd,
+        any_value(onset) AS onset, sqrt(any_value(onset_gain)) AS onset_gain, avg(y) FILTER (inside AND j < onset) AS before, avg(y) FILTER (j >= onset) AS after, nullif(regr_slope(y, x) FILTER (j >= z.n - 5), 'nan'::DOUBLE) AS end_slope, avg((y > mu)::INT) AS above_mean FROM z GROUP BY 1, 2)"""
+_DIGITS = {c: 6 for c in FEATURES if c not in ("n", "n_rejected", "transient", "onset")}
+_SELECTED = ", ".join(f"round({'after - before' if c == 'change' else c}, {_DIGITS[c]}) AS {c}" if c in _DIGITS else f"{c}::BIGINT AS {c}" for c in FEATURES)
 
 
 def _cycle_samples(spark: SparkSession, d: str) -> DataFrame:
@@ -103,7 +103,7 @@ def _feature_rows(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_FEATURES_SQL} SELECT user_id, cycle::BIGINT AS cycle, {_SELECTED} FROM f")
 def e5_feature_rows(spark: SparkSession, d: str) -> DataFrame:
     """Samples to one row of 26 features a cycle, over all users (mask, transient, change, aggregates)."""
-    return _feature_rows(spark, d).select("user_id", "cycle", *[F.round(c, 6).alias(c) if c in _ROUNDED else c for c in FEATURES])
+    return _feature_rows(spark, d).select("user_id", "cycle", *[F.round(c, _DIGITS[c]).alias(c) if c in _DIGITS else c for c in FEATURES])
 
 
 @query(f"{_FEATURES_SQL}, y AS (SELECT user_id, cycle, count(*) FILTER (event_type = 'error')::BIGINT AS errors FROM {_CYCLES} GROUP BY 1, 2) SELECT user_id, f.cycle::BIGINT AS cycle, round(mean, 6) AS mean, onset::BIGINT AS onset, errors AS y_errors FROM f JOIN y USING (user_id, cycle)")
