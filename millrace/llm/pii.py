@@ -202,9 +202,10 @@ def held_out_recall(docs: DataFrame, parts: int = 10, rounds: int = 3, min_seeds
     scanned = write_table(scan(docs, id_col, text_col), "scanned")
     edges = mention_edges(scanned, (F.col("was") >= 0) & (F.pmod(F.xxhash64("item"), F.lit(parts)) == 0))
     found = discovered(edges, write_table(score_patterns(edges, rounds, min_seeds, min_confidence), "accepted"))
-    own = ["doc_id", "text_key", "was", "start", "end"]
+    own = [F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text_key", "was", "start", "end"]
     hidden = edges.where("kind < 0 and was >= 0").select(*own).distinct()
-    both = hidden.groupBy("was").agg(F.count("*").alias("hidden")).join(found.where("was = kind").groupBy("was").agg(F.count("*").alias("found")), "was", "left")
+    again = hidden.join(found.where("was = kind").select(*own), ["doc_id", "text_key", "was", "start", "end"], "left_semi")
+    both = hidden.groupBy("was").agg(F.count("*").alias("hidden")).join(again.groupBy("was").agg(F.count("*").alias("found")), "was", "left")
     return both.select(F.get(F.array(*[F.lit(k) for k in NAMES]), F.col("was")).alias("kind"), "hidden", F.coalesce("found", F.lit(0)).alias("found"))
 
 
