@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -320,9 +322,16 @@ def a7_regression_moments(spark: SparkSession, d: str) -> DataFrame:
     return m.select("l_returnflag", "n", *[F.round(c, k).alias(c) for c, k in digits.items()])
 
 
-@query()
+@query(
+    """WITH c AS (SELECT l_returnflag AS g, count(*) AS n, avg(l_quantity) AS m1, avg(l_discount) AS m2, avg(l_tax) AS m3, avg(l_extendedprice) AS my, var_pop(l_quantity) AS a, covar_pop(l_quantity, l_discount) AS b, covar_pop(l_quantity, l_tax) AS c, var_pop(l_discount) AS d, covar_pop(l_discount, l_tax) AS e, var_pop(l_tax) AS f,
+        covar_pop(l_quantity, l_extendedprice) AS u, covar_pop(l_discount, l_extendedprice) AS v, covar_pop(l_tax, l_extendedprice) AS w, var_pop(l_extendedprice) AS vy FROM lineitem GROUP BY 1),
+    i AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM c),
+    s AS (SELECT *, ((d * f - e * e) * u + (c * e - b * f) * v + (b * e - c * d) * w) / det AS b1, ((c * e - b * f) * u + (a * f - c * c) * v + (b * c - a * e) * w) / det AS b2, ((b * e - c * d) * u + (b * c - a * e) * v + (a * d - b * b) * w) / det AS b3 FROM i)
+    SELECT g AS l_returnflag, round(my - b1 * m1 - b2 * m2 - b3 * m3, 3) AS b0, round(b1, 3) AS b1, round(b2, 3) AS b2, round(b3, 3) AS b3, round(sqrt(vy - b1 * u - b2 * v - b3 * w), 3) AS rms, n::BIGINT AS n FROM s"""
+)
 def a7_multivariate_ols(spark: SparkSession, d: str) -> DataFrame:
-    return A.ols(table(spark, d, "lineitem"), ["l_returnflag"], ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
+    fit = A.ols(table(spark, d, "lineitem"), ["l_returnflag"], ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
+    return fit.select("l_returnflag", *[F.round(F.col("beta")[i], 3).alias(f"b{i}") for i in range(4)], F.round("rms", 3).alias("rms"), "n")
 
 
 @query("SELECT o_orderpriority, round(avg(o_totalprice), 4) AS mean, round(1000 * avg((o_totalprice > 200000)::INT), 4) AS per_thousand, round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.99), 4) AS p99, count(*)::BIGINT AS n FROM orders GROUP BY 1")
@@ -480,7 +489,11 @@ def x_scalar_math(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.exp(-q / 10) * F.sqrt(p), 6).alias("a"), F.round(F.asinh(q), 6).alias("b"), F.round(logistic(q - 25), 6).alias("c"), F.round(lse, 6).alias("lse"), F.round(F.hypot(q, F.col("l_tax")), 6).alias("hyp"))
 
 
-@query()
+@query(
+    f"""WITH z AS (SELECT event_id, (value - 50) / 20 AS x, abs((value - 50) / 20) / {math.sqrt(2)!r}::DOUBLE AS a FROM events), t AS (SELECT *, 1 / (1 + 0.3275911::DOUBLE * a) AS t FROM z),
+    p AS (SELECT *, ((((1.061405429::DOUBLE * t - 1.453152027::DOUBLE) * t + 1.421413741::DOUBLE) * t - 0.284496736::DOUBLE) * t + 0.254829592::DOUBLE) * t * exp(-a * a) / 2 AS tail FROM t)
+    SELECT event_id, round(CASE WHEN x >= 0 THEN 1 - tail ELSE tail END, 6) AS phi FROM p"""
+)
 def x4_normal_tail(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.round(normal_cdf((F.col("value") - 50) / 20), 6).alias("phi"))
 
