@@ -15,7 +15,7 @@ from millrace.operators import sequences as S
 from millrace.operators import signal as G
 from millrace.plans.registry import query
 from millrace.plans.relational import _EVENTS, _events
-from millrace.sources.tables import table
+from millrace.sources.tables import stored, table
 
 BY, ORDER = ["user_id"], ["ts", "event_id"]
 _W = "(PARTITION BY user_id ORDER BY ts, event_id)"
@@ -208,6 +208,7 @@ def e25_monitor_first_alarms(spark: SparkSession, d: str) -> DataFrame:
     e = _features(spark, d).select("user_id", "ts", "event_id", "value", "k")
     mean, cov, _ = A.covariance(e, ["value", "k"])
     stats = M.mewma(M.charts(e, ["value", "k"], mean, cov, 1), BY, ORDER, ["value", "k"], mean, cov, 0.1, keep=["t2", "spe"])
+    stats = stored(stats.select(*BY, "event_id", "t2", "spe", "mewma"))
     return M.first_alarms(M.alarms(stats, A.joint_limits(stats, ["t2", "spe", "mewma"], _RATE, _POINTS)), BY, "event_id")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +12,24 @@ from pyspark.sql import types as T
 LOCAL_CONF = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true"}
 
 
+def work_dir(spark: SparkSession) -> str:
+    """A new folder in ``spark.checkpoint.dir``; only a local session without that setting gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/work/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read from there: what is read several times is computed once, and survives lost executors."""
+    path = work_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return with_instants(spark.read.parquet(f"{root}/{name}.parquet"))
 

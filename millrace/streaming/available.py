@@ -2,22 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def work_dir(spark: SparkSession) -> str:
-    """A new folder in ``spark.checkpoint.dir``; only a local session without that setting gets a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/streams/{uuid.uuid4().hex}"
+from millrace.sources.tables import work_dir
 
 
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
