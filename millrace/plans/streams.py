@@ -12,7 +12,8 @@ from millrace.operators.features import FEATURES, feature_rows, with_truth
 from millrace.plans import ordered  # noqa: F401  (its SQL is used here)
 from millrace.plans.registry import ORACLES, query
 from millrace.plans.relational import _events
-from millrace.sources.tables import table
+from millrace.sources.recording import scan_recording, write_recording
+from millrace.sources.tables import table, work_dir
 from millrace.streaming import assembler, windows
 from millrace.streaming.available import event_stream, run_available
 
@@ -134,3 +135,17 @@ def t6_streamed_mewma(spark: SparkSession, d: str) -> DataFrame:
     mean, cov, _ = covariance(e, ["value", "k"])
     stream = event_stream(spark, d).withColumn("k", F.get_json_object("props", "$.k").cast("double"))
     return run_available(windows.mewma_stream(stream, "user_id", "long", ["ts", "event_id"], ["value", "k"], mean, cov, 0.1), "append").select("event_id", F.round("mewma", 6).alias("mewma"))
+
+
+@query(ORACLES["m10_recording"])
+def s6_recording_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A recording is written by signal, sorted by time, and scanned back."""
+    path = f"{work_dir(spark)}/recording"
+    write_recording(m10_recording(spark, d), path)
+    return scan_recording(spark, path).select("cycle", "t", "signal", "value")
+
+
+@query("SELECT event_type, epoch_us(time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR)::BIGINT AS start_us, count(*)::BIGINT AS n, round(avg(value), 6) AS mean FROM events, range(2) w(k) GROUP BY 1, 2")
+def t5_sliding_windows(spark: SparkSession, d: str) -> DataFrame:
+    w = windows.sliding(_events(spark, d), "ts", "12 hours", "6 hours", ["event_type"], "value")
+    return w.select("event_type", F.unix_micros("w.start").alias("start_us"), "n", F.round("mean", 6).alias("mean"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import duckdb
@@ -10,7 +11,7 @@ import pandas as pd
 import pytest
 
 from millrace.operators import signal as G
-from millrace.plans import ordered, relational, streams  # noqa: F401
+from millrace.plans import evaluation, ordered, relational, streams  # noqa: F401
 from millrace.plans.registry import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -140,6 +141,11 @@ def brute_w12(got, data):
         assert [rows[g["user_id"][0], i] for i in range(30)] == pytest.approx(np.interp(at, t, y), abs=2e-6)
 
 
+def brute_k4(got, data):
+    want = {n: hashlib.sha256(open(f"{data}/{n}", "rb").read()).hexdigest() for n in ("region.parquet", "nation.parquet")}
+    assert {r["name"]: r["sha256"] for r in got} == want
+
+
 #: Queries without SQL: what their rows must be, by plain Python over the files.
 BRUTE = {
     "a18_cluster_bootstrap": brute_a18,
@@ -147,6 +153,7 @@ BRUTE = {
     "e7_projection": brute_e7,
     "e15_partial_pooling": brute_e15,
     "e16_pooled_prediction": brute_e16,
+    "k4_fingerprints": brute_k4,
     "m1_mean_reverting_process": brute_m1,
     "w2_window_choice": brute_w2,
     "w3_adaptive_window": lambda got, data: same(got, ["y", "window"], per_row(data, lambda g: G.lepski(g["value"].to_numpy(), [3, 5, 7, 11, 17, 25]))),
