@@ -35,7 +35,7 @@ from millrace.llm.urls import host_of, path_of
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
 _TO_END = re.compile(r"(?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+>")  # a quote counts after an equals sign only
 _RAW = {t: re.compile(rf"</{t}(?![^\s/>])[^>]*+>?", re.I) for t in "script style noscript template svg iframe textarea select title".split()}
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset("a abbr acronym area audio b bdi bdo big canvas cite code data del dfn em embed font i img input ins kbd label map mark meter object output picture progress q rp rt ruby s samp small source span strike strong sub sup time tt u var video wbr".split())
 _CONTAINER = frozenset("address article aside blockquote body button center dd details dialog div dl dt fieldset figure footer form head header html li main menu nav ol section table tbody td tfoot th thead tr ul".split())
 _FURNITURE = frozenset("nav footer aside form head menu dialog fieldset button".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -158,6 +158,8 @@ def _parsed(page: str) -> tuple[list[tuple[str, bool, bool, float]], list[_Eleme
         if name in _INLINE:
             continue
         end_line()
+        if name == "br":  # a new line of the same paragraph
+            continue
         link, marked, heading = link and name != "body", False, False
         if closing:
             if opened[name] > 0:

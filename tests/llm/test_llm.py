@@ -282,6 +282,11 @@ def test_no_article_is_lost_and_no_furniture_kept(page):
     assert html.main_text(html.page_lines(page), set()) == "T\nOne long text of an article that is here to stay and be read.\nTwo"
 
 
+def test_line_breaks_and_pictures_stay_in_their_paragraph():
+    page = "<p>One <img src=a> two<br>three</p><p class=advert>Buy<br>now</p><h2>Head <input> end</h2>"
+    assert [(t, zone) for t, zone, _ in html.page_lines(page)] == [("One two", html.FREE), ("three", html.FREE), ("Buy", html.FURNITURE), ("now", html.FURNITURE), ("Head end", html.FREE)]
+
+
 def test_elements_that_never_end():
     text = lambda page: html.main_text(html.page_lines(page), set())
     assert text("One<p>Two<aside>ad<p>Three") == "One\nTwo\nThree"
