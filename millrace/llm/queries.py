@@ -60,8 +60,8 @@ def op7_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Target shares of tokens for the query: three margins. What is not named keeps its natural share of what they leave.
 TARGETS = {
     "source": {f"src{i}": 0.06 if i < 5 else 0.04 for i in range(20)},
-    "lang": {"en": 0.46, "de": 0.18, "fr": 0.18, "es": 0.14},
-    "topic": {"prose": 0.5, "long": 0.2, "listing": 0.1, "numeric": 0.04, "tiny": 0.01},
+    "lang": {"en": 0.5, "de": 0.18, "fr": 0.18, "es": 0.13},
+    "topic": {"prose": 0.73, "long": 0.266},
 }
 
 
