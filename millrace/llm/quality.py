@@ -158,7 +158,7 @@ def _distance(k: int) -> Column:
 
 
 PAIRS = [(i, j) for i in range(len(VECTOR)) for j in range(i, len(VECTOR))]
-FIT = "grp string, start int, rows long, logdet double, " + ", ".join([f"c{i} double" for i in range(len(VECTOR))] + [f"p{i}_{j} double" for i, j in PAIRS])
+FIT = "grp string, start int, rows long, logdet double, fell double, " + ", ".join([f"c{i} double" for i in range(len(VECTOR))] + [f"p{i}_{j} double" for i, j in PAIRS])
 
 
 def _estimates(out: pd.DataFrame, centre: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
@@ -167,8 +167,9 @@ def _estimates(out: pd.DataFrame, centre: np.ndarray, cov: np.ndarray) -> pd.Dat
     cov = cov.copy()
     cov[:, range(k), range(k)] = np.maximum(cov[:, range(k), range(k)], 0) + np.square(FLOOR)
     inverse = np.linalg.inv(cov)
-    more = {"logdet": np.linalg.slogdet(cov)[1]} | {f"c{i}": centre[:, i] for i in range(k)} | {f"p{i}_{j}": inverse[:, i, j] for i, j in PAIRS}
-    return out.assign(**more)
+    logdet = np.linalg.slogdet(cov)[1]
+    more = {"logdet": logdet, "fell": out["before"].to_numpy(float) - logdet if "before" in out else np.full(len(out), math.inf)} | {f"c{i}": centre[:, i] for i in range(k)} | {f"p{i}_{j}": inverse[:, i, j] for i, j in PAIRS}
+    return out.assign(**more)[[x.split()[0] for x in FIT.split(", ")]]
 
 
 def _inverted(moments: DataFrame, groups: int) -> DataFrame:
@@ -182,7 +183,7 @@ def _inverted(moments: DataFrame, groups: int) -> DataFrame:
             cov = np.zeros((len(b), k, k))
             for i, j in PAIRS:
                 cov[:, i, j] = cov[:, j, i] = b[f"s{i}_{j}"] / n - mean[:, i] * mean[:, j]
-            yield _estimates(b[["grp", "start", "rows"]], mean + b[[f"o{i}" for i in range(k)]].to_numpy(), cov)
+            yield _estimates(b[["grp", "start", "rows", "before"]], mean + b[[f"o{i}" for i in range(k)]].to_numpy(), cov)
 
     return write_table(moments.mapInPandas(invert, FIT), "mcd", rows=groups)
 
@@ -192,7 +193,7 @@ def _moments(rows: DataFrame) -> DataFrame:
     k = len(VECTOR)
     d = [F.col(VECTOR[i]) - F.col(f"c{i}") for i in range(k)]
     sums = [F.sum(d[i]).alias(f"s{i}") for i in range(k)] + [F.sum(d[i] * d[j]).alias(f"s{i}_{j}") for i, j in PAIRS]
-    return rows.groupBy("grp", "start").agg(F.count("*").alias("rows"), *sums, *[F.first(f"c{i}").alias(f"o{i}") for i in range(k)])
+    return rows.groupBy("grp", "start").agg(F.count("*").alias("rows"), F.first("logdet").alias("before"), *sums, *[F.first(f"c{i}").alias(f"o{i}") for i in range(k)])
 
 
 def concentrated(x: np.ndarray, w: np.ndarray, centre: np.ndarray, cov: np.ndarray, h: float) -> tuple[np.ndarray, np.ndarray]:
@@ -252,20 +253,20 @@ def chi2_quantile(q: float, k: int) -> float:
 def _candidates(rows: DataFrame, sizes: DataFrame, h: float, groups: int) -> DataFrame:
     """First estimates of each group: by quartiles (start 0), and by random subsets of a sample of its different vectors."""
     k = len(VECTOR)
-    quartiles = rows.join(_small(sizes.select("grp")), "grp", "left_semi").groupBy("grp").agg(F.count("*").alias("rows"), *[F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(f"q_{v}") for v in VECTOR])
+    quartiles = rows.join(_small(sizes.select("grp"), groups), "grp", "left_semi").groupBy("grp").agg(F.count("*").alias("rows"), *[F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(f"q_{v}") for v in VECTOR])
     spread = [F.greatest((F.col(f"q_{v}")[2] - F.col(f"q_{v}")[0]) / 1.349, F.lit(FLOOR[i])) for i, v in enumerate(VECTOR)]
     inverse = [(1 / (spread[i] * spread[i]) if i == j else F.lit(0.0)).alias(f"p{i}_{j}") for i, j in PAIRS]
-    plain = quartiles.select("grp", F.lit(0).alias("start"), "rows", F.lit(math.inf).alias("logdet"), *[F.col(f"q_{v}")[1].alias(f"c{i}") for i, v in enumerate(VECTOR)], *inverse)
+    plain = quartiles.select("grp", F.lit(0).alias("start"), "rows", F.lit(math.inf).alias("logdet"), F.lit(math.inf).alias("fell"), *[F.col(f"q_{v}")[1].alias(f"c{i}") for i, v in enumerate(VECTOR)], *inverse)
 
     place = F.pmod(F.xxhash64(F.lit(5), "grp", *VECTOR), F.lit(1 << 30)) / float(1 << 30)
-    some = rows.join(_small(sizes), "grp").where(place < F.lit(float(SAMPLE)) / F.col("different")).groupBy("grp", *VECTOR).agg(F.count("*").alias("w"))
+    some = rows.join(_small(sizes, groups), "grp").where(place < F.lit(float(SAMPLE)) / F.col("different")).groupBy("grp", *VECTOR).agg(F.count("*").alias("w"))
 
     def search(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(VECTOR)
         x, w = b[VECTOR].to_numpy(float), b["w"].to_numpy(float)
         fits = best_starts(x, w, h, zlib.crc32(key[0].encode()))
         out = pd.DataFrame({"grp": [key[0]] * len(fits), "start": np.arange(1, len(fits) + 1, dtype="int32"), "rows": len(b)})
-        return _estimates(out, np.array([c for c, _ in fits]), np.array([v for _, v in fits]))[[x.split()[0] for x in FIT.split(", ")]]
+        return _estimates(out, np.array([c for c, _ in fits]), np.array([v for _, v in fits]))
 
     return write_table(plain.unionByName(some.groupBy("grp").applyInPandas(search, FIT)), "mcd", rows=groups)
 
@@ -279,25 +280,24 @@ def mcd(rows: DataFrame, h: float = 0.75, steps: int = 12, min_rows: int = 50) -
     fit = _candidates(rows, sizes, h, groups)
 
     def at(f: DataFrame) -> DataFrame:
-        return rows.join(_small(f.drop("rows")), "grp").withColumn("d2", _distance(k))
+        return rows.join(_small(f.drop("rows"), groups * (BEST + 1)), "grp").withColumn("d2", _distance(k))
 
     def quantile(f: DataFrame, q: float) -> DataFrame:
         return write_table(at(f).groupBy(*by).agg(F.percentile_approx("d2", q, 5000).alias("cut")), "cut", rows=groups)
 
     for step in range(steps):
-        after = _inverted(_moments(at(fit).join(_small(quantile(fit, h)), by).where(F.col("d2") <= F.col("cut"))), groups)
+        after = _inverted(_moments(at(fit).join(_small(quantile(fit, h), groups * (BEST + 1)), by).where(F.col("d2") <= F.col("cut"))), groups)
         if step == 1:  # the candidate of the least determinant goes on
             won = after.groupBy("grp").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
-            after = write_table(after.join(_small(won), by), "mcd", rows=groups)
-        fell = after.select(*by, "logdet").join(fit.select(*by, F.col("logdet").alias("_before")), by).agg(F.max(F.abs(F.col("_before") - F.col("logdet")))).first()[0]
+            after = write_table(after.join(_small(won, groups), by), "mcd", rows=groups)
         fit = after
-        if step > 1 and (fell or 0.0) < 1e-3:
+        if step > 1 and (fit.agg(F.max(F.abs("fell"))).first()[0] or 0.0) < 0.01:
             break
     # reweighting: all rows that are near by the chi-square quantile, distances being scaled at their h-quantile
-    scaled = at(fit).join(_small(quantile(fit, h)), by).where(F.col("d2") * chi2_quantile(h, k) <= F.greatest("cut", F.lit(1e-12)) * chi2_quantile(0.975, k))
+    scaled = at(fit).join(_small(quantile(fit, h), groups), by).where(F.col("d2") * chi2_quantile(h, k) <= F.greatest("cut", F.lit(1e-12)) * chi2_quantile(0.975, k))
     fit = _inverted(_moments(scaled), groups)
     scale = F.lit(chi2_quantile(0.5, k)) / F.greatest("cut", F.lit(1e-12))
-    return write_table(fit.join(_small(quantile(fit, 0.5)), by).withColumn("scale", scale).drop("cut"), "fit", rows=groups)
+    return write_table(fit.join(_small(quantile(fit, 0.5), groups), by).withColumn("scale", scale).drop("cut", "fell"), "fit", rows=groups)
 
 
 def distance_limit(far: DataFrame, mads: float = MADS) -> float:
@@ -310,9 +310,9 @@ def distance_limit(far: DataFrame, mads: float = MADS) -> float:
     return max(math.exp(min(700.0, middle + mads * 1.4826 * deviation)), chi2_quantile(0.999, len(VECTOR)))
 
 
-def _small(table: DataFrame, most: int = 20_000) -> DataFrame:
-    """A written table, marked for broadcast if it has few rows; beyond that the planner joins it by a shuffle."""
-    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+def _small(table: DataFrame, rows: int | None = None, most: int = 20_000) -> DataFrame:
+    """A written table, marked for broadcast if it has few rows; beyond that the planner joins it by a shuffle. ``rows``: a known bound."""
+    return F.broadcast(table) if (table.limit(most + 1).count() if rows is None else rows) <= most else table
 
 
 def _fitted(stats: DataFrame, h: float, min_rows: int, mads: float) -> tuple[list[float], DataFrame, DataFrame, DataFrame, float]:
