@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.tables import stored
+
 
 def bin_average(df: DataFrame, by: list[str], x: str, y: str, x_min: float, width: float, bins: int) -> DataFrame:
     """Mean of y per bin of x; values at the upper edge belong to the last bin."""
@@ -206,17 +211,52 @@ def block_bootstrap_rate(blocks: DataFrame, draws: int, seed: int = 0, level: fl
     return float(c @ hits / (c @ size)), float(low), float(high)
 
 
+def exact_quantiles(df: DataFrame, stats: list[str], probabilities: list[float]) -> list[np.ndarray | None]:
+    """The values of rank ceil(p n) of each column, for rising p; None for a column without values.
+
+    A sketch gives a bound a little below the least rank. The different values from there on are counted, dealt by range
+    and ranked inside their part, so no task holds a column. Should the bound be too high, everything is ranked.
+    """
+    xs = [F.col(s).cast("double") for s in stats]
+    bound = max(0.0, probabilities[0] - 0.001)
+    head = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)], *[F.percentile_approx(x, bound, 10_000).alias(f"b{i}") for i, x in enumerate(xs)]).first()
+    total = [head[f"n{i}"] for i in range(len(xs))]
+    ranks = [np.array([min(n, max(1, math.ceil(p * n))) for p in probabilities]) for n in total]
+    for bounds in ([head[f"b{i}"] for i in range(len(xs))], [None] * len(xs)):
+        kept = F.array(*[x if b is None else F.when(x >= b, x) for x, b in zip(xs, bounds, strict=True)])
+        values = df.select(F.posexplode(kept).alias("stat", "value")).where("value is not null").groupBy("stat", "value").agg(F.count("*").alias("n"))
+        values = stored(values.repartitionByRange("stat", "value").withColumn("part", F.spark_partition_id()))
+        before, seen = {}, [0] * len(xs)
+        for r in sorted(values.groupBy("stat", "part").agg(F.sum("n").alias("n")).collect()):  # a row a part, and one more a column
+            before[r["stat"], r["part"]] = seen[r["stat"]]
+            seen[r["stat"]] += r["n"]
+        if all(n == 0 or n - m < r[0] for n, m, r in zip(total, seen, ranks, strict=True)):
+            break
+    before = {k: m + total[k[0]] - seen[k[0]] for k, m in before.items()}
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, b in batch.groupby(["stat", "part"]):
+                upto = b["upto"].to_numpy() + before[key]
+                first, end = (np.searchsorted(ranks[key[0]], r, side="right") for r in (upto - b["n"].to_numpy(), upto))
+                yield pd.DataFrame({"stat": key[0], "first": first, "end": end, "value": b["value"].to_numpy()})[end > first]
+
+    ranked = values.withColumn("upto", F.sum("n").over(Window.partitionBy("stat", "part").orderBy("value")))
+    grids = [np.zeros(len(probabilities)) if n else None for n in total]
+    for r in ranked.mapInPandas(pick, "stat int, first int, end int, value double").collect():  # at most a row a probability and column
+        grids[r["stat"]][r["first"] : r["end"]] = r["value"]
+    return grids
+
+
 def joint_limits(df: DataFrame, stats: list[str], rate: float, points: int = 1000) -> dict[str, float]:
     """Limits of several statistics at one common quantile, the least at which any of them alarms in at most the wanted share of rows.
 
-    One pass gives each statistic's quantiles on a grid (mergeable sketches), a second the level that each
-    row's worst statistic reaches; the common quantile is read from the counts of levels. A null never alarms.
+    Each statistic's quantiles on a grid are exact, as one rank more or less moves first alarms. A last pass counts
+    the level that each row's worst statistic reaches; the common quantile is read from the counts of levels. A null never alarms.
     """
-    probabilities = [1 - rate + rate * j / points for j in range(points + 1)]
-    grids = df.agg(*[F.percentile_approx(F.col(s).cast("double"), F.array(*map(F.lit, probabilities)), 100_000).alias(s) for s in stats]).first().asDict()
-    if any(grids[s] is None for s in stats):
+    edges = exact_quantiles(df, stats, [1 - rate + rate * j / points for j in range(points + 1)])
+    if any(e is None for e in edges):
         return {}
-    edges = [np.array(grids[s]) for s in stats]
 
     @F.pandas_udf("int")
     def level(*columns: pd.Series) -> pd.Series:

@@ -361,6 +361,19 @@ def test_joint_limits_against_all_quantiles(spark):
     assert [limits["a"], limits["b"]] == pytest.approx(np.quantile(x, want, axis=0, method="inverted_cdf"))
 
 
+def test_joint_limits_are_values_of_exact_rank(spark):
+    n = 300_000
+    x = np.stack([np.arange(n) * 7919 % n / 7, np.arange(n) * 104729 % n // 1000], axis=1).astype(float)  # all different; 1,000 of each
+    df = spark.range(n).select((F.col("id") * 7919 % n / 7).alias("a"), F.floor(F.col("id") * 104729 % n / 1000).cast("double").alias("b"))
+    ordered, q = np.sort(x, axis=0), [1 - 0.02 + 0.02 * j / 1000 for j in range(1001)]
+    grid = ordered[[math.ceil(p * n) - 1 for p in q]]
+    at = next(j for j in range(1001) if (x > grid[j]).any(axis=1).sum() <= 0.02 * n)
+    assert A.joint_limits(df, ["a", "b"], 0.02) == {"a": grid[at, 0], "b": grid[at, 1]}
+    with_nulls = df.select("a", F.when(F.col("b") < 10, F.col("b")).alias("b"), F.lit(None).cast("double").alias("c"))
+    got = A.exact_quantiles(with_nulls, ["a", "b", "c"], [0.5, 0.75, 1.0])
+    assert got[0].tolist() == ordered[[n // 2 - 1, 3 * n // 4 - 1, n - 1], 0].tolist() and got[1].tolist() == [4.0, 7.0, 9.0] and got[2] is None
+
+
 def test_block_bootstrap_of_a_rate(spark):
     rng = np.random.default_rng(7)
     df = spark.createDataFrame([("a", i, bool(v)) for i, v in enumerate(rng.random(3000) < 0.2)], "k string, i int, f boolean")
