@@ -425,6 +425,38 @@ def test_word_encoder_is_the_tokenizer(spark, data):
             assert np.frombuffer(e.encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x[:80]
 
 
+def test_word_encoder_takes_unknown_letters_past_the_pattern():
+    class Counting:
+        def __init__(self, of):
+            self.of, self.calls = of, 0
+
+        def encode(self, *args, **kwargs):
+            self.calls += 1
+            return self.of.encode(*args, **kwargs)
+
+    e = packing.WordEncoder(vocabulary_path())
+    t, e.tokenizer = e.tokenizer, Counting(e.tokenizer)
+    letters = [chr(i) for i in range(0x41, 0x250) if chr(i).isalpha() and chr(i) != "\u0130"]
+    texts = [" ".join(f"{letters[(i * k) % len(letters)]}{letters[i % 40]}Q{letters[k % 300]}{'!?'[k % 2]}" for k in range(40)) for i in range(300)]
+    for x in texts:
+        assert np.frombuffer(e.encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+    assert e.tokenizer.calls <= 3  # for the punctuation; one for each text before
+
+
+def test_word_encoder_over_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "CACHED_WORDS", 50)
+    monkeypatch.setattr(packing, "WORDS_A_CALL", 7)
+    e = packing.WordEncoder(vocabulary_path())
+    texts = [f"Wort{chr(97 + i % 26)}{chr(97 + i // 26)}ö, {i} (x) J\u030c {'z' * i}" if i % 9 else None for i in range(400)] + ["".join(chr(i) for i in range(0x21, 0x250)), "\x0b\x0c "]
+    for at in range(0, len(texts), 100):
+        batch = texts[at : at + 100]
+        ids, begins = e.encode_all(pa.array(batch, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(begins, begins[1:])] == [e.tokenizer.encode(x or "", add_special_tokens=False).ids for x in batch]
+        assert len(e.known) <= 50
+
+
 def valid_packing(rows, capacity):
     bins = {}
     for r in rows:
